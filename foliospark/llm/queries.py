@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import packing, repetition, splitting
+from foliospark.llm import leakage, packing, repetition, splitting
 from foliospark.llm import sql as S
 from foliospark.plans.registry import Registry
 from foliospark.sources.tables import table
@@ -55,3 +55,13 @@ def register(to: Registry) -> None:
     @to.query("p7_packed")
     def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
         return packing.pack_texts(table(spark, folder, "documents", "doc_id", "text"), packing.packs_of(table(spark, folder, "pack_specs")))
+
+    @to.query("p8_found", S.P8_FOUND)
+    def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+        leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
+        return leaks.select("doc_id", "item_id")
+
+    @to.query("p8_item_report")
+    def p8_item_report(spark: SparkSession, folder: str) -> DataFrame:
+        leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
+        return leaks.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("longest"))

@@ -31,3 +31,21 @@ SELECT observation_id, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (WHERE
   count(*) FILTER (WHERE norm <> '' AND NOT dropped) < 0.5 * count(*) FILTER (WHERE norm <> '') AS rejected
 FROM joined GROUP BY observation_id
 """
+
+P8_FOUND = r"""
+WITH cut AS (
+  SELECT item_id, prompt FROM (SELECT DISTINCT item_id, trim(prompt) AS prompt FROM eval_items)),
+sent AS (SELECT item_id, string_split(regexp_replace(prompt, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM cut),
+opening AS (SELECT lower(s[1]) AS o FROM sent GROUP BY 1 HAVING count(*) > 1),
+own AS (
+  SELECT item_id, list_aggregate(s[(CASE WHEN lower(s[1]) IN (SELECT o FROM opening) THEN 2 ELSE 1 END):(CASE WHEN s[len(s)] LIKE '%?' THEN len(s) - 1 ELSE len(s) END)], 'string_agg', ' ') AS p FROM sent),
+iw AS (SELECT item_id, regexp_extract_all(lower(p), '[\p{L}\p{N}]+') AS w FROM own),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ig AS (SELECT item_id, len(w) AS n, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] AS g FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM iw)),
+dg AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] AS g FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM dw)),
+hit AS (SELECT DISTINCT d.doc_id, t.item_id, t.n, d.i - t.i AS diag, t.i FROM dg d JOIN ig t ON d.g = t.g),
+runs AS (SELECT *, sum(CASE WHEN i - prev <= 9 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS run
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS prev FROM hit)),
+spans AS (SELECT doc_id, item_id, n, max(i) - min(i) + 4 AS span FROM runs GROUP BY doc_id, item_id, n, diag, run)
+SELECT DISTINCT doc_id, item_id FROM spans WHERE span >= least(20, n)
+"""
