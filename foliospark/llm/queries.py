@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import leakage, packing, repetition, splitting
+from foliospark.llm import leakage, packing, repetition, splitting, subjects
 from foliospark.llm import sql as S
 from foliospark.plans.registry import Registry
 from foliospark.sources.tables import table
@@ -65,3 +65,15 @@ def register(to: Registry) -> None:
     def p8_item_report(spark: SparkSession, folder: str) -> DataFrame:
         leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
         return leaks.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("longest"))
+
+    @to.query("p9_found")
+    def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+        return subjects.document_subjects(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "subject_labels")).select("doc_id", "subject")
+
+    @to.query("p9_composition")
+    def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+        documents = table(spark, folder, "documents", "doc_id", "text")
+        shares = subjects.subject_shares(documents, subjects.mine_rules(documents, table(spark, folder, "subject_labels")))
+        per = shares.groupBy("subject").agg(F.sum("n_sentences").alias("n_sentences"), F.count_if(F.col("share") >= subjects.SHARE).alias("n_documents"))
+        total = per.agg(F.sum("n_sentences").alias("_all"))
+        return per.crossJoin(total).select("subject", "n_documents", "n_sentences", (F.col("n_sentences") / F.col("_all")).alias("share"))
