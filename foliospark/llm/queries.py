@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import leakage, packing, repetition, splitting, subjects
+from foliospark.llm import leakage, neighbors, packing, repetition, splitting, subjects
 from foliospark.llm import sql as S
 from foliospark.plans.registry import Registry
 from foliospark.sources.tables import table
@@ -77,3 +77,15 @@ def register(to: Registry) -> None:
         per = shares.groupBy("subject").agg(F.sum("n_sentences").alias("n_sentences"), F.count_if(F.col("share") >= subjects.SHARE).alias("n_documents"))
         total = per.agg(F.sum("n_sentences").alias("_all"))
         return per.crossJoin(total).select("subject", "n_documents", "n_sentences", (F.col("n_sentences") / F.col("_all")).alias("share"))
+
+    @to.query("p3_found", S.P3_FOUND)
+    def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+        return neighbors.similar_pairs(table(spark, folder, "vector_records"), 0.9, 10)
+
+    @to.query("p3_nearest")
+    def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+        return neighbors.nearest(table(spark, folder, "vector_records"), 10)
+
+    @to.query("p3_answers")
+    def p3_answers(spark: SparkSession, folder: str) -> DataFrame:
+        return neighbors.answer_queries(table(spark, folder, "vector_records"), table(spark, folder, "vector_queries"))

@@ -49,3 +49,12 @@ runs AS (SELECT *, sum(CASE WHEN i - prev <= 9 THEN 0 ELSE 1 END) OVER (PARTITIO
 spans AS (SELECT doc_id, item_id, n, max(i) - min(i) + 4 AS span FROM runs GROUP BY doc_id, item_id, n, diag, run)
 SELECT DISTINCT doc_id, item_id FROM spans WHERE span >= least(20, n)
 """
+
+P3_FOUND = """
+WITH v AS (
+  SELECT DISTINCT vec_id, space_namespace AS ns, recipe AS r, dimensions AS d, CAST(vector AS DOUBLE[]) AS x FROM vector_records
+  WHERE vec_id IS NOT NULL AND len(vector) = dimensions AND len(list_filter(vector, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(vector, lambda c: c <> 0)) > 0)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b
+  ON a.ns IS NOT DISTINCT FROM b.ns AND a.r IS NOT DISTINCT FROM b.r AND a.d = b.d AND a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+"""
