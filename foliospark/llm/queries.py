@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import leakage, neighbors, packing, repetition, splitting, subjects
+from foliospark.llm import leakage, markup, neighbors, packing, repetition, splitting, subjects
 from foliospark.llm import sql as S
 from foliospark.plans.registry import Registry
 from foliospark.sources.tables import table
@@ -89,3 +89,16 @@ def register(to: Registry) -> None:
     @to.query("p3_answers")
     def p3_answers(spark: SparkSession, folder: str) -> DataFrame:
         return neighbors.answer_queries(table(spark, folder, "vector_records"), table(spark, folder, "vector_queries"))
+
+    @to.query("p1_found")
+    def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+        out = markup.clean_markup(table(spark, folder, "blocks", "block_id", "markdown"), "block_id", "markdown", texts=False)
+        return out.select("block_id", F.explode("families").alias("family"))
+
+    @to.query("p1_clean_blocks")
+    def p1_clean_blocks(spark: SparkSession, folder: str) -> DataFrame:
+        return markup.clean_markup(table(spark, folder, "blocks", "block_id", "markdown"), "block_id", "markdown")
+
+    @to.query("p1_clean_pages")
+    def p1_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
+        return markup.clean_markup(table(spark, folder, "parsed_pages", "page_id", "text"), "page_id", "text")
