@@ -25,7 +25,7 @@ _SHAPES: list[tuple[str, str, tuple[str, ...]]] = [
     ("inline", r"\\\(.+?\\\)", ("latex",)),
     ("dollar", r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\$])\$(?![\d$])", ("latex",)),
     ("amount", r"\$\d[\d.,]*", ()),
-    ("path", r"\b[A-Za-z]:\\[^\s]*", ()),
+    ("path", r"(?<=[A-Za-z]:)\\[^\s]*", ()),
     ("group", r"\{\\[A-Za-z]+\s[^{}]*\}", ("latex",)),
     ("command", r"(?<![\\\w])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}]*\})*", ("latex",)),
     ("wiki_table", r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", ("wiki",)),
@@ -54,7 +54,8 @@ _SHAPES: list[tuple[str, str, tuple[str, ...]]] = [
 ]
 KINDS = ["run", *(k for k, _, _ in _SHAPES)]
 ALLOWED = {k: f for k, _, f in _SHAPES} | {"run": ()}
-_LEXER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in _SHAPES), re.M | re.S)
+#: Shapes begin at these characters or at the start of a line; looking there first keeps plain text cheap.
+_LEXER = re.compile(r"(?=[*_~`$\\{}\[\]|<>=#&'!]|^)(?:" + "|".join(f"(?P<{k}>{p})" for k, p, _ in _SHAPES) + ")", re.M | re.S)
 #: Without one of these no shape can match.
 _ANY = re.compile(r"[*_~`$\\{}\[\]|<>=#&']|^[ \t]*[-+][ \t]|^[ \t]*\d{1,3}[.)][ \t]|^[ ]{0,3}-+[ \t]*$", re.M)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")

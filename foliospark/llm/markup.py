@@ -149,19 +149,22 @@ _STRUCTURE = {"fence": "code", "hashes": "heading", "underlined": "heading", "eq
 CLEANED = "_key bigint, families array<string>, clean_text string, n_leaves int, n_formulas int, n_code int"
 
 
-def clean_markup(df: DataFrame, key: str, text: str, texts: bool = True) -> DataFrame:
+def clean_markup(df: DataFrame, key: str, text: str, texts: bool = True, frontmatter: bool = False) -> DataFrame:
     """(key, families, clean_text, n_leaves, n_formulas, n_code), one row per key.
 
     ``families`` are the markup families found in the text, sorted. Every text is read
     whole and alone, without a shuffle before it; of repeated keys one stays. A null or
     empty text has no families and empty clean text; a null key is dropped.
-    ``texts=False`` leaves the clean text out.
+    ``texts=False`` leaves the clean text out; ``frontmatter`` drops a leading block of
+    fields, which is no text.
     """
 
+    front = re.compile(r"\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
+
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Labeller.load()
         for batch in batches:
-            values = [v or "" for v in batch["_text"]]
+            values = [front.sub("", v) if frontmatter and v else v or "" for v in batch["_text"]]
             rows = []
             for k, value, (leaves, families) in zip(batch["_key"], values, model.label(values)):
                 kinds = [(leaf.kind, f) for leaf, f in zip(leaves, families) if f]

@@ -101,4 +101,4 @@ def register(to: Registry) -> None:
 
     @to.query("p1_clean_pages")
     def p1_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
-        return markup.clean_markup(table(spark, folder, "parsed_pages", "page_id", "text"), "page_id", "text")
+        return markup.clean_markup(table(spark, folder, "parsed_pages", "page_id", "text"), "page_id", "text", frontmatter=True)
