@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import leakage, markup, neighbors, packing, repetition, splitting, subjects
+from foliospark.llm import leakage, markup, neighbors, packing, repetition, scans, splitting, subjects
 from foliospark.llm import sql as S
 from foliospark.plans.registry import Registry
 from foliospark.sources.tables import table
@@ -102,3 +102,11 @@ def register(to: Registry) -> None:
     @to.query("p1_clean_pages")
     def p1_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
         return markup.clean_markup(table(spark, folder, "parsed_pages", "page_id", "text"), "page_id", "text", frontmatter=True)
+
+    @to.query("p6_found")
+    def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+        return scans.noise(table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw"))
+
+    @to.query("p6_repaired")
+    def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+        return scans.repaired(table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw"))
