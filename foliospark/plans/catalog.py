@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.plans import captures
+from foliospark.plans import captures, retrieval
 from foliospark.plans.registry import Registry
 
-MODULES = (captures,)
+MODULES = (captures, retrieval)
 
 
 def catalog() -> Registry:
