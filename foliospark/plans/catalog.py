@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.plans import captures, retrieval
+from foliospark.plans import captures, qualities, retrieval, store, timelines
 from foliospark.plans.registry import Registry
 
-MODULES = (captures, retrieval)
+MODULES = (captures, retrieval, timelines, store, qualities)
 
 
 def catalog() -> Registry:
