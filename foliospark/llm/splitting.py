@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.pages import scan_page, sections
+from foliospark.functions.pages import scan_page, sections
 
 #: Units on each side of a boundary whose words are compared.
 BLOCK = 6
