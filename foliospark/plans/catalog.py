@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.plans import captures, pages, qualities, retrieval, store, timelines
+from foliospark.plans import captures, jobs, pages, qualities, retrieval, store, timelines
 from foliospark.plans.registry import Registry
 
-MODULES = (captures, retrieval, timelines, store, qualities, pages)
+MODULES = (captures, retrieval, timelines, store, qualities, pages, jobs)
 
 
 def catalog() -> Registry:
