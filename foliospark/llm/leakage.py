@@ -68,8 +68,8 @@ class Tests:
         arrays = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in found[k]], np.int64) for k in self.ids]
         if len(self.number) >= 1 << BITS:
             raise ValueError("too many different words in one block of items")
-        self.length = np.array([len(a) for a in arrays])
-        self.start = np.concatenate([[0], np.cumsum(self.length + 1)])
+        self.length = np.array([len(a) for a in arrays], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length + 1)]).astype(np.int64)
         self.flat = np.concatenate([np.append(a, -1) for a in arrays]) if arrays else np.zeros(0, np.int64)
         self.item = np.repeat(np.arange(len(arrays)), self.length + 1)
         n = len(self.flat) - SEED + 1

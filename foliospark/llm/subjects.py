@@ -139,11 +139,23 @@ class Scorer:
     def __init__(self, rules: list[tuple[tuple[str, ...], str, int, int, float]]) -> None:
         self.subjects = sorted({r[1] for r in rules})
         at = {s: i for i, s in enumerate(self.subjects)}
-        self.by: dict[tuple[str, ...], np.ndarray] = {}
+        priors = np.zeros(len(self.subjects))
+        held: dict[tuple[str, ...], dict[int, float]] = {}
         for words, subject, n_rule, n_words, prior in rules:
-            # Confidence drawn to the prior by two sentences, as a log lift.
-            lift = np.log((n_rule + 2 * prior) / (n_words + 2) / prior)
-            self.by.setdefault(words, np.zeros(len(self.subjects)))[at[subject]] = max(0.0, lift)
+            priors[at[subject]] = prior
+            # Confidence drawn to the prior by two sentences.
+            held.setdefault(words, {})[at[subject]] = (n_rule + 2 * prior) / (n_words + 2)
+        priors /= max(priors.sum(), 1e-9)
+        self.by: dict[tuple[str, ...], np.ndarray] = {}
+        for words, own in held.items():
+            # What the rules of these words leave goes to the other subjects by their priors.
+            share = np.zeros(len(self.subjects))
+            for i, confidence in own.items():
+                share[i] = confidence
+            rest = np.where(share > 0, 0.0, priors)
+            left = max(1.0 - share.sum(), 0.02)
+            share = share + left * rest / max(rest.sum(), 1e-9)
+            self.by[words] = np.log(np.maximum(share / share.sum(), 1e-3) / priors)
         self.single = {w[0]: v for w, v in self.by.items() if len(w) == 1}
         self.paired = {x for w in self.by if len(w) > 1 for x in w}
 
