@@ -432,7 +432,7 @@ def book(spark):
     for page in range(1, 9):
         head = ["The Lawful Bench", "Tbe Lawful Bench", "The Lawfvl Bench", "The Lawful Bcnch"][page % 4] if page % 2 else None
         own = random.Random(page).sample(body.split(), 11)
-        text = "\n".join(x for x in [head, " ".join(own), f"and of page {page * 37}", f"{40 + page}"] if x)
+        text = "\n".join(x for x in [head, " ".join(own), " ".join(random.Random(-page).sample(body.split(), 6)) + ".", f"{40 + page}"] if x)
         rows.append((no, 1, page, text, "x"))
         no += 1
     rows.append((no, 1, 3, rows[2][3], "x"))
