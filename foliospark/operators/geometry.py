@@ -13,8 +13,11 @@ def area(box: Column) -> Column:
 
 
 def shared_area(a: Column, b: Column) -> Column:
-    """Area that two boxes have in common."""
-    return F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])) * F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+    """Area that two boxes have in common; a null box has none."""
+    wide = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
+    high = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+    # greatest and least pass over nulls, so they are asked for first.
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(wide * high)
 
 
 def iou(a: Column, b: Column) -> Column:
