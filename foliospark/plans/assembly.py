@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import documents as D
+from foliospark.operators import repairs as R
 from foliospark.plans.registry import Registry
 from foliospark.sources.tables import table
 
@@ -99,3 +100,17 @@ def register(to: Registry) -> None:
         rows = table(spark, folder, "blocks", "block_id", "markdown").distinct()
         find = lambda p: rows.select("block_id", F.explode(F.regexp_extract_all("markdown", F.lit(p), F.lit(1))).alias("label"))
         return D.footnote_pairs(find(r"\[\^(\d+)\](?:[^:]|$)"), find(r"\[\^(\d+)\]:"), ["block_id"]).select("block_id", "label")
+
+    @to.query("looping_reads")
+    def looping_reads(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "ocr_observations", "observation_id", "raw").dropDuplicates(["observation_id"])
+        return rows.filter(R.looping("raw")).select("observation_id")
+
+    @to.query("read_differences")
+    def read_differences(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw").groupBy("book_id", "page_no").agg(F.min_by("raw", "observation_id").alias("a"), F.max_by("raw", "observation_id").alias("b"), F.count_distinct("observation_id").alias("n")).filter("n > 1")
+        return rows.select("book_id", "page_no", F.posexplode(R.word_differences("a", "b")).alias("no", "d")).select("book_id", "page_no", "no", "d.op", "d.a", "d.b")
+
+    @to.query("indent_bands")
+    def indent_bands(spark: SparkSession, folder: str) -> DataFrame:
+        return R.indent_bands(_blocks(spark, folder).withColumn("x", F.col("bbox.x0")), ["observation_id"], "ordinal", "x")
