@@ -143,9 +143,8 @@ def hotwords(terms: DataFrame, term: str, order: str, most: int = 40) -> DataFra
     """Trimmed terms without repeats of another case, the first spelling kept. Empty or many-line terms, and too many, fail when read."""
     rows = terms.withColumn("_t", F.trim(term)).filter(F.assert_true((F.col("_t") != "") & ~F.col("_t").rlike(r"[\r\n]"), F.lit("a hotword must be one non-empty line")).isNull())
     first = rows.groupBy(F.lower("_t").alias("_l")).agg(F.min(F.struct(order, "_t")).alias("r"))
-    total = first.agg(F.count("*").alias("_n"))
-    # One row of a count.
-    return first.crossJoin(F.broadcast(total)).filter(F.assert_true(F.col("_n") <= most, F.lit("too many hotwords")).isNull()).select(F.col(f"r.{order}").alias(order), F.col("r._t").alias(term))
+    total = first.agg(F.count("*")).scalar()
+    return first.filter(F.assert_true(total <= most, F.lit("too many hotwords")).isNull()).select(F.col(f"r.{order}").alias(order), F.col("r._t").alias(term))
 
 
 # --- pairs on one page

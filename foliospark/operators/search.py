@@ -34,10 +34,10 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     stats = toks.agg(F.count("*").alias("_n"), F.coalesce(F.avg(F.size("_t")), F.lit(0.0)).alias("_avg"))
     hits = toks.select("_d", F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("_d", "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.greatest("_avg", F.lit(1.0)))
-    # One row of statistics.
-    scored = hits.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("_s", weight * F.col("tf") * (K1 + 1) / norm)
+    n, mean = stats.select("_n").scalar(), stats.select("_avg").scalar()
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.greatest(mean, F.lit(1.0)))
+    scored = hits.join(df, "term").withColumn("_s", weight * F.col("tf") * (K1 + 1) / norm)
     by_terms = terms.join(scored, "term").groupBy("_q", "_d").agg(F.sum("_s").alias("_s"))
     # The phrase can only stand where its first word does: its rows come from the hits, and only they fetch their text.
     first = q.select("_q", "_phrase", F.get("_terms", F.lit(0)).alias("term"))

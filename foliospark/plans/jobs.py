@@ -48,9 +48,8 @@ def register(to: Registry) -> None:
     def worker_liveness(spark: SparkSession, folder: str) -> DataFrame:
         rows = table(spark, folder, "events", "user_id", "ts").select("user_id", micros("ts").alias("t"))
         last = rows.groupBy("user_id").agg(F.max("t").alias("last_seen_us"))
-        # One row.
-        now = rows.agg(F.max("t").alias("_now"))
-        return last.crossJoin(F.broadcast(now)).select("user_id", "last_seen_us", (F.col("_now") - F.col("last_seen_us") < 3_600_000_000).alias("alive"))
+        now = rows.agg(F.max("t")).scalar()
+        return last.select("user_id", "last_seen_us", (now - F.col("last_seen_us") < 3_600_000_000).alias("alive"))
 
     @to.query("natural_order", "SELECT path, row_number() OVER (ORDER BY regexp_replace(path, '[0-9]+\\.md$', ''), CAST(regexp_extract(path, '([0-9]+)\\.md$', 1) AS BIGINT), path) AS position FROM documents WHERE path LIKE 'tasks/a%'")
     def natural_order(spark: SparkSession, folder: str) -> DataFrame:
