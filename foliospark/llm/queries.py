@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm import leakage, markup, neighbors, packing, repetition, scans, splitting, subjects
@@ -75,8 +76,9 @@ def register(to: Registry) -> None:
         documents = table(spark, folder, "documents", "doc_id", "text")
         shares = subjects.subject_shares(documents, subjects.mine_rules(documents, table(spark, folder, "subject_labels")))
         per = shares.groupBy("subject").agg(F.sum("n_sentences").alias("n_sentences"), F.count_if(F.col("share") >= subjects.SHARE).alias("n_documents"))
-        total = per.agg(F.sum("n_sentences").alias("_all"))
-        return per.crossJoin(total).select("subject", "n_documents", "n_sentences", (F.col("n_sentences") / F.col("_all")).alias("share"))
+        # One row per subject by now.
+        whole = F.sum("n_sentences").over(W.partitionBy())
+        return per.select("subject", "n_documents", "n_sentences", (F.col("n_sentences") / whole).alias("share"))
 
     @to.query("p3_found", S.P3_FOUND)
     def p3_found(spark: SparkSession, folder: str) -> DataFrame:
