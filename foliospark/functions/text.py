@@ -10,18 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Bytes a token needs; one accented letter has two.
-TOKEN_BYTES = 2
-
-
 def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def raw_tokens(text: Column | str) -> Column:
+    """Runs of letters and digits of at least two bytes, in their own case; null gives null.
+
+    One regular expression that stays in generated code: two characters or more, or a
+    single one outside ASCII.
+    """
+    return F.regexp_extract_all(_c(text), F.lit(r"[\p{L}\p{N}]{2,}|[[\p{L}\p{N}]&&[^\x00-\x7F]]"), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
-    """Lower-cased runs of letters and digits of at least two bytes; null gives null."""
-    parts = F.split(_c(text), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(parts, lambda x: F.octet_length(x) >= TOKEN_BYTES), lambda x: F.lower(x))
+    """The raw tokens, lower-cased after their bytes were counted."""
+    return F.transform(raw_tokens(text), lambda x: F.lower(x))
 
 
 def search_text(*parts: Column | str) -> Column:

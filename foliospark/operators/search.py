@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import tokens
+from foliospark.functions.text import raw_tokens, tokens
 
 #: BM25 parameters, the bonus for the whole phrase, the rank constant of fusion, the graph's weight.
 K1, B, PHRASE, RRF_K, GRAPH = 1.2, 0.75, 2.0, 60, 0.15
@@ -16,8 +16,9 @@ CANDIDATES = 30
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): term counts of each row; a null text has no terms."""
-    toks = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    return toks.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    toks = docs.select(key, raw_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    # Lower-casing after the explode stays in generated code.
+    return toks.select(key, F.size("_t").alias("length"), F.explode("_t").alias("_r")).select(key, "length", F.lower("_r").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query: str) -> DataFrame:
@@ -30,9 +31,10 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     """
     q = queries.select(F.col(query_key).alias("_q"), F.lower(F.trim(query)).alias("_phrase"), F.array_distinct(tokens(query)).alias("_terms")).filter("_phrase != ''")
     terms = q.select("_q", F.explode("_terms").alias("term"))
-    toks = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    toks = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text"), raw_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     stats = toks.agg(F.count("*").alias("_n"), F.coalesce(F.avg(F.size("_t")), F.lit(0.0)).alias("_avg"))
-    hits = toks.select("_d", F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("_d", "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
+    spread = toks.select("_d", F.size("_t").alias("_len"), F.explode("_t").alias("_r")).select("_d", "_len", F.lower("_r").alias("term"))
+    hits = spread.join(terms.select("term").distinct(), "term", "left_semi").groupBy("_d", "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = stats.select("_n").scalar(), stats.select("_avg").scalar()
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
