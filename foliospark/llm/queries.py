@@ -112,3 +112,8 @@ def register(to: Registry) -> None:
     @to.query("p6_repaired")
     def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
         return scans.repaired(table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw"))
+
+    @to.query("p6_repaired_blocks")
+    def p6_repaired_blocks(spark: SparkSession, folder: str) -> DataFrame:
+        blocks = table(spark, folder, "blocks", "block_id", "observation_id", "book_id", "page_no", "ordinal", "markdown", "confidence")
+        return scans.repaired_blocks(blocks, table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw")).select("block_id", "text")

@@ -11,6 +11,7 @@ their constant distance from the page's place.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ MISREAD, PAGES = 3, 3
 #: Least share of a book's most frequent distance between number and place that another one needs.
 SHIFT_SHARE = 0.1
 
+#: Cost of a word that was misread, at the usual confidence, and how it changes with confidence (a weak hint).
+WRONG, USUAL, HINT = 5.0, 0.9, 2.0
+
 #: What is read for what (fixed values: characters that look alike in print).
 CONFUSED = {"c": ("e",), "cl": ("d",), "ſ": ("s",), "ii": ("u",), "b": ("h",), "rn": ("m",), "vv": ("w",), "@": ("a",), "†": ("t",), "0": ("o",), "1": ("l", "i"), "5": ("s",)}
 #: Signs that divide a word at a line's end.
@@ -124,9 +128,25 @@ class Decoder:
                 ends[padded[i : i + 2]] = ends.get(padded[i : i + 2], 0) + 1
         self.grams, self.ends = grams, ends
         self.holes: dict[tuple[int, int, str], list[str]] = {}
+        self.wrong = WRONG
+        self.hinted: dict[float, Decoder] = {}
         self.fixed = lru_cache(maxsize=50_000)(self._fixed)
         self.spelled = lru_cache(maxsize=50_000)(self._spelled)
 
+    def at(self, confidence: float | None) -> Decoder:
+        """The decoder for a text of this confidence: what is less sure is sooner a misreading; null is the usual."""
+        if confidence is None or not 0 <= confidence <= 1:
+            return self
+        wrong = round(WRONG + HINT * (round(confidence, 1) - USUAL), 2)
+        if wrong == self.wrong:
+            return self
+        if wrong not in self.hinted:
+            other = copy.copy(self)
+            other.wrong, other.hinted = wrong, {}
+            other.fixed = lru_cache(maxsize=50_000)(other._fixed)
+            self.hinted[wrong] = other
+        return self.hinted[wrong]
+
     def _spelled(self, word: str) -> float:
         """Cost of a word by its letters, as if it were a name."""
         padded = f"^^{word}$"
@@ -161,9 +181,9 @@ class Decoder:
                 best = min(best, (self.cost[v] + 4.0 * word.count("�"), v, "confused"))
         for v in unconfused(word):
             if v in self.known:
-                best = min(best, (self.cost[v] + 5.0, v, "confused"))
+                best = min(best, (self.cost[v] + self.wrong, v, "confused"))
             elif len(v) > 4 and "�" not in v and v.isalpha() and not _ODD.search(v):
-                best = min(best, (14.0 + self.spelled(v) + 5.0, v, "confused"))
+                best = min(best, (14.0 + self.spelled(v) + self.wrong, v, "confused"))
         if len(word) > 3 and not has_digit:
             for k in range(1, len(word)):
                 a, b = word[:k], word[k:]
@@ -171,7 +191,7 @@ class Decoder:
                     continue
                 for x, ca in self._part(a):
                     for y, cb in self._part(b):
-                        best = min(best, (ca + cb + 5.0, f"{x} {y}", "split"))
+                        best = min(best, (ca + cb + self.wrong, f"{x} {y}", "split"))
         if best[2] == "kept" and odd:
             best = (best[0], word, "odd")
         return best
@@ -181,7 +201,7 @@ class Decoder:
             return [(word, self.cost[word])]
         if len(word) == 1:
             return [(word, 5.0)]
-        out = [(v, self.cost[v] + 5.0) for v in unconfused(word, 1) if v in self.known] if len(word) > 2 else []
+        out = [(v, self.cost[v] + self.wrong) for v in unconfused(word, 1) if v in self.known] if len(word) > 2 else []
         if not out and len(word) > 5 and word.isalpha() and self.spelled(word) < 3.0 * len(word):
             out = [(word, 14.0 + self.spelled(word))]
         return out
@@ -338,6 +358,25 @@ def skeleton(line: str) -> str:
 EDGES = "observation_id bigint, book_id bigint, page_no bigint, line_no int, line string, own boolean, number int, number_kind string, skeleton string"
 
 
+def _edges_of(lines: list[tuple[str, bool]]) -> Iterator[tuple]:
+    """(line_no, line, own, number, number_kind, skeleton) of a page's (line, own) that could be running lines."""
+    for at in (0, 1, -1, -2):
+        if not -len(lines) <= at < len(lines) or (at == 1 and len(lines) < 4) or (at == -2 and len(lines) < 4):
+            continue
+        if at in (1, -2) and not _running(*lines[0 if at == 1 else -1]):
+            continue
+        line, own = lines[at]
+        if not _running(line, own):
+            continue
+        yield at, line, own, *(page_number(line) or (None, None)), skeleton(line)
+
+
+def _edge_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in EDGES.split(", ")])
+    frame["number"] = frame["number"].astype("Int64")
+    return frame
+
+
 def page_edges(observations: DataFrame) -> DataFrame:
     """The one or two lines at the top and bottom of each read that could be running lines: :data:`EDGES`.
 
@@ -350,19 +389,8 @@ def page_edges(observations: DataFrame) -> DataFrame:
             for oid, book, page, raw in zip(batch["observation_id"], batch["book_id"], batch["page_no"], batch["raw"]):
                 parts = blocks_of(raw) if raw else []
                 lines = [(line, len(block) == 1 or (kind == "free" and "<|ref|>" not in raw)) for kind, block in parts for line in block]
-                for at in (0, 1, -1, -2):
-                    if not -len(lines) <= at < len(lines) or (at == 1 and len(lines) < 4) or (at == -2 and len(lines) < 4):
-                        continue
-                    if at in (1, -2) and not _running(*lines[0 if at == 1 else -1]):
-                        continue
-                    line, own = lines[at]
-                    if not _running(line, own):
-                        continue
-                    number = page_number(line)
-                    out.append((oid, book, page, at, line, own, *(number or (None, None)), skeleton(line)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in EDGES.split(", ")])
-            frame["number"] = frame["number"].astype("Int64")
-            yield frame
+                out += [(oid, book, page, *edge) for edge in _edges_of(lines)]
+            yield _edge_frame(out)
 
     rows = observations.filter("observation_id is not null and raw is not null").select("observation_id", "book_id", "page_no", "raw")
     return rows.mapInPandas(edges, EDGES)
@@ -455,16 +483,23 @@ def decoded(observations: DataFrame, counts: dict[str, int], running: DataFrame
                     hyphen += count["hyphen"]
                     misread += count["confused"] + count["odd"] + count["split"] + count["spaced"]
                     if texts and shown:
-                        for group in paragraphs(shown):
-                            if len(shown) < len(marked) or len(group) < len(shown):
-                                mended, _ = mend_text(decoder, "\n".join(group))
-                            pieces.append(re.sub(r"\s*\n\s*", " ", mended) if "```" not in mended and "~~~" not in mended else mended)
+                        pieces += _continuous(decoder, shown, mended if len(shown) == len(marked) else None)
                 out.append((oid, hyphen, misread, "\n\n".join(pieces) if texts else None))
             yield pd.DataFrame(out, columns=["observation_id", "hyphen", "misread", "text"])
 
     return rows.mapInPandas(mend, WORDS)
 
 
+def _continuous(decoder: Decoder, shown: list[str], mended: str | None = None) -> list[str]:
+    """The mended paragraphs of a block's lines; ``mended`` is the whole block's text where that is known."""
+    out = []
+    for group in paragraphs(shown):
+        if mended is None or len(group) < len(shown):
+            mended, _ = mend_text(decoder, "\n".join(group))
+        out.append(re.sub(r"\s*\n\s*", " ", mended) if "```" not in mended and "~~~" not in mended else mended)
+    return out
+
+
 def mend_text(decoder: Decoder, stream: str) -> tuple[str, dict[str, int]]:
     """Decode what lies between the opaque stretches of a text."""
     count = {"confused": 0, "odd": 0, "split": 0, "spaced": 0, "hyphen": 0}
@@ -498,3 +533,74 @@ def repaired(observations: DataFrame) -> DataFrame:
     """(observation_id, text): every read as continuous paragraphs, one row per id."""
     once = observations.dropDuplicates(["observation_id"])
     return decoded(once, lexicon(observations), running_lines(page_edges(observations))).select("observation_id", "text")
+
+
+_BLOCK_PAGE = ["observation_id", "book_id", "page_no"]
+BLOCK_WORDS = "block_id bigint, hyphen int, misread int, text string"
+
+
+def block_pages(blocks: DataFrame) -> DataFrame:
+    """(page, book_id, page_no, parts): the blocks of each page in order, each id once.
+
+    ``page`` is a negative number, so that it is no observation's.
+    """
+    once = blocks.filter("block_id is not null and markdown is not null").dropDuplicates(["block_id"])
+    part = F.struct("ordinal", "block_id", "markdown", "confidence")
+    pages = once.groupBy(*_BLOCK_PAGE).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return pages.select((-1 - F.array_min(F.transform("parts", lambda p: p["block_id"]))).alias("page"), "book_id", "page_no", "parts")
+
+
+def _block_lines(markdown: str) -> list[str]:
+    return [x.strip() for x in markdown.split("\n") if x.strip()]
+
+
+def block_edges(pages: DataFrame) -> DataFrame:
+    """The edges of :func:`block_pages` as :data:`EDGES`; ``observation_id`` is the page."""
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for page, book, no, parts in zip(batch["page"], batch["book_id"], batch["page_no"], batch["parts"]):
+                blocks = [_block_lines(p["markdown"]) for p in parts]
+                lines = [(line, len(block) == 1) for block in blocks for line in block]
+                out += [(page, book, no, *edge) for edge in _edges_of(lines)]
+            yield _edge_frame(out)
+
+    return pages.mapInPandas(edges, EDGES)
+
+
+def repaired_blocks(blocks: DataFrame, observations: DataFrame) -> DataFrame:
+    """(block_id, hyphen, misread, text) of every block with a text, one row per id.
+
+    ``text`` is as in :func:`decoded`; it is empty for a block that is a running line or a
+    page number. Running lines are told from the pages of reads and of blocks. Blocks
+    are stretches of their reads, so only those without a read are counted for the
+    lexicon as well.
+    """
+    alone = blocks.dropDuplicates(["block_id"]).join(observations.filter("raw != ''").select("observation_id").distinct(), "observation_id", "left_anti")
+    counts = lexicon(observations.select("raw").unionByName(alone.select(F.col("markdown").alias("raw"))))
+    pages = block_pages(blocks)
+    running = running_lines(page_edges(observations).unionByName(block_edges(pages))).filter("observation_id < 0")
+    drop = running.groupBy(F.col("observation_id").alias("page")).agg(F.collect_set("line_no").alias("drop"))
+    rows = pages.join(drop, "page", "left").select("parts", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        usual = Decoder(shared.value)
+        for batch in batches:
+            out = []
+            for parts, drop in zip(batch["parts"], batch["drop"]):
+                blocks = [_block_lines(p["markdown"]) for p in parts]
+                total = sum(map(len, blocks))
+                gone = {int(d) % total for d in drop} if total else set()
+                at = 0
+                for part, lines in zip(parts, blocks):
+                    decoder = usual.at(part["confidence"])
+                    shown = [x for i, x in enumerate(lines, at) if i not in gone]
+                    at += len(lines)
+                    mended, count = mend_text(decoder, "\n".join(lines))
+                    pieces = _continuous(decoder, shown, mended if len(shown) == len(lines) else None)
+                    out.append((part["block_id"], count["hyphen"], count["confused"] + count["odd"] + count["split"] + count["spaced"], "\n\n".join(pieces)))
+            yield pd.DataFrame(out, columns=["block_id", "hyphen", "misread", "text"])
+
+    return rows.mapInPandas(mend, BLOCK_WORDS)

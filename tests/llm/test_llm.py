@@ -459,6 +459,31 @@ def test_noise(spark):
     assert scans.noise(df.limit(0)).count() == 0
 
 
+def test_repaired_blocks(spark):
+    df = book(spark)
+    rows, no = [], 0
+    for page in range(1, 6):
+        # Pages of book 7 that no read covers; the header is misread on one of them.
+        for ordinal, text in enumerate(["Tbe Corner Review" if page == 2 else "The Corner Review", "the or-\nchestra showed tbe rcview\nof thc burn" if page < 3 else "the or-\nchestra showed the review\nof the burn", "the corner of the treasury.", str(60 + page)]):
+            rows.append((no, 5000 + page, 7, page, ordinal, text, None if page == 1 else 0.4))
+            no += 1
+    rows += [rows[1], (100, 5006, 7, 6, 0, None, 0.9), (None, 5006, 7, 6, 1, "the", 0.9), (101, None, None, None, None, "tbe burn", 0.9)]
+    blocks = spark.createDataFrame(rows, "block_id bigint, observation_id bigint, book_id bigint, page_no bigint, ordinal int, markdown string, confidence double")
+    out = scans.repaired_blocks(blocks, df).collect()
+    texts = {r["block_id"]: r["text"] for r in out}
+    assert len(out) == len(texts) == 21
+    for k in range(0, 20, 4):
+        assert [texts[k + i] for i in range(4)] == ["", "the orchestra showed the review of the burn", "the corner of the treasury.", ""]
+    assert texts[101] == "the burn"
+
+
+def test_confidence_is_a_weak_hint():
+    decoder = scans.Decoder(COUNTS)
+    assert decoder.at(None) is decoder and decoder.at(0.9) is decoder and decoder.at(0.4) is decoder.at(0.42)
+    assert decoder.at(0.4).fixed("rcview")[0] < decoder.fixed("rcview")[0] < decoder.at(1.0).fixed("rcview")[0]
+    assert {decoder.at(c).decode("tbe orchcstra of Zandavar")[0] for c in (0.0, 0.4, 0.9, 1.0)} == {"the orchestra of Zandavar"}
+
+
 def test_long_read():
     decoder = scans.Decoder(COUNTS)
     mended, count = decoder.decode("the orchcstra " * 20_000)
