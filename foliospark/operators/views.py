@@ -51,3 +51,23 @@ def moved_dates(start: Column, end: Column, by_start: Column, by_end: Column) ->
     """A schedule moved or resized by whole days, at least one day long (inclusive end)."""
     first = F.date_add(start, by_start)
     return first, F.greatest(first, F.date_add(end, by_end))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their place from 1 in ``order``, nulls last.
+
+    Rows are cut into ranges of the order; each range is numbered on its own and carries
+    on from the rows before it, so no task sorts the whole. The ranges are drawn from a
+    sample, so they are kept in a checkpoint. Rows equal in all of ``order`` share a range.
+    """
+    from foliospark.session import cut_lineage
+
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = df.select("*", *[c.alias(k) for c, k in zip(order, keys)])
+    by = [F.col(k).asc_nulls_last() for k in keys]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(rows.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()))
+    # One row a range.
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(*by)))
+    return own.join(before, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before", *keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import clock, natural_key, short_id
 from foliospark.operators import timeline as L
+from foliospark.operators import views as V
 from foliospark.plans.registry import Registry
 from foliospark.sources import corpus, sinks
 from foliospark.sources.tables import micros, table
@@ -53,10 +54,15 @@ def register(to: Registry) -> None:
 
     @to.query("natural_order", "SELECT path, row_number() OVER (ORDER BY regexp_replace(path, '[0-9]+\\.md$', ''), CAST(regexp_extract(path, '([0-9]+)\\.md$', 1) AS BIGINT), path) AS position FROM documents WHERE path LIKE 'tasks/a%'")
     def natural_order(spark: SparkSession, folder: str) -> DataFrame:
-        from pyspark.sql import Window as W
-
         rows = table(spark, folder, "documents", "path").filter("path like 'tasks/a%'")
-        return rows.withColumn("position", F.row_number().over(W.orderBy(natural_key("path"), "path")))
+        return V.numbered(rows, [natural_key("path"), F.col("path")], "position")
+
+    @to.query(
+        "document_order",
+        "SELECT path, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 12, '0') ELSE x END), '') NULLS LAST, path NULLS LAST) AS position FROM documents",
+    )
+    def document_order(spark: SparkSession, folder: str) -> DataFrame:
+        return V.numbered(table(spark, folder, "documents", "path"), [natural_key("path"), F.col("path")], "position")
 
     @to.query("short_ids", "SELECT meeting_id, right(regexp_replace(meeting_id, '[^A-Za-z0-9]', '', 'g'), 12) AS short_id FROM (SELECT DISTINCT meeting_id FROM capture_requests)")
     def short_ids(spark: SparkSession, folder: str) -> DataFrame:

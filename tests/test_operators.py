@@ -1,15 +1,35 @@
 """Operators against small plain models and literal cases."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import compare_form
+from foliospark.functions.text import compare_form, natural_key
 from foliospark.operators import chunks, edits, geometry, identity, links, quality, search, sync, timeline, validate, views
+from foliospark.plans.catalog import catalog
 from foliospark.sources import corpus, sinks
 from foliospark.streaming import queue
+from tests.compare import DATA
+
+
+def test_numbered_over_ranges(spark):
+    names = [f"notes/a{random.Random(i).randint(0, 400)}.md" for i in range(1500)] + [None, None]
+    df = spark.createDataFrame([(x,) for x in names], "path string").repartition(7)
+    got = views.numbered(df, [natural_key("path"), F.col("path")], "position").collect()
+    want = sorted(names, key=lambda x: (x is None, int(x[7:-3]) if x else 0))
+    assert [r["path"] for r in sorted(got, key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in got) == list(range(1, len(names) + 1))
+    assert views.numbered(df.limit(0), [F.col("path")], "position").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_document_order_is_whole(spark):
+    got = catalog().queries["document_order"](spark, DATA).collect()
+    total = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert sorted(r["position"] for r in got) == list(range(1, total + 1))
 
 
 def test_bm25_quirks(spark):
