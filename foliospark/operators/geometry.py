@@ -99,5 +99,7 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFram
         pairs = following
         if stable:
             break
+    else:
+        raise ValueError(f"the components are not settled after {rounds} rounds")
     found = pairs.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.select(F.col("node")).distinct().join(found, F.col("node") == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))

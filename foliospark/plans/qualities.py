@@ -138,6 +138,20 @@ def register(to: Registry) -> None:
         nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
         return G.components(e, nodes)
 
+    @to.query("order_components")
+    def order_components(spark: SparkSession, folder: str) -> DataFrame:
+        # Customers and their orders, which have the negative numbers.
+        e = table(spark, folder, "orders", "o_custkey", "o_orderkey").select(F.col("o_custkey").cast("bigint").alias("a"), (-F.col("o_orderkey")).cast("bigint").alias("b")).distinct()
+        customers = table(spark, folder, "customer", "c_custkey").select(F.col("c_custkey").cast("bigint").alias("node"))
+        return G.components(e, customers.unionByName(e.select(F.col("a").alias("node"))).unionByName(e.select(F.col("b").alias("node"))))
+
+    @to.query("box_components")
+    def box_components(spark: SparkSession, folder: str) -> DataFrame:
+        # Blocks whose boxes, ten points larger on every side, touch one another in chains.
+        rows = _blocks(spark, folder).filter("block_id is not null").withColumn("bbox", G.padded(F.col("bbox"), 10.0))
+        pairs = G.overlapping_pairs(rows, ["observation_id"], "block_id")
+        return G.components(pairs.select(F.col("block_id").alias("a"), F.col("other").alias("b")), rows.select(F.col("block_id").alias("node")))
+
     unit = "v AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings)"
 
     @to.query(

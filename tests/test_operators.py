@@ -221,6 +221,43 @@ def test_geometry(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_order_components_of_all_rows(spark):
+    edges = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    root = {r[0]: r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for customer, order in edges:
+        a, b = find(customer), find(-order)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in catalog().queries["order_components"](spark, DATA).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_box_components(spark, tmp_path):
+    r = random.Random(3)
+    boxes = {i: (i % 3, r.uniform(0, 1500), r.uniform(0, 1500)) for i in range(240)}
+    # A chain of a hundred boxes in no order of their ids.
+    boxes |= {i: (9, 45.0 * k, 0.0) for k, i in enumerate(r.sample(range(1000, 1100), 100))}
+    rows = [(i, p, 1, 1, i, "text", "x", (x, y, x + 40, y + 40), 0.9) for i, (p, x, y) in boxes.items()] + [(2000, 0, 1, 1, 0, "text", "x", None, 0.9)]
+    spark.createDataFrame(rows, "block_id bigint, observation_id bigint, book_id bigint, page_no bigint, ordinal int, kind string, markdown string, bbox struct<x0: double, y0: double, x1: double, y1: double>, confidence double").write.parquet(f"{tmp_path}/blocks.parquet")
+    root = {i: i for i in [*boxes, 2000]}
+    for _ in range(len(boxes)):
+        before = dict(root)
+        for i, (p, x, y) in boxes.items():
+            root[i] = min(root[j] for j, (q, u, v) in boxes.items() if p == q and abs(x - u) < 60 and abs(y - v) < 60)
+        if root == before:
+            break
+    got = {r["node"]: r["component"] for r in catalog().queries["box_components"](spark, str(tmp_path)).collect()}
+    assert got == root and len(set(got.values())) > 20
+    with pytest.raises(ValueError, match="not settled"):
+        geometry.components(spark.createDataFrame([(k, k + 1) for k in range(50)], "a bigint, b bigint"), spark.createDataFrame([(0,)], "node bigint"), rounds=1)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randint(0, 30), 100 + r.randint(0, 30)) for _ in range(20)]
