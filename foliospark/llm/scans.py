@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words of the lexicon: least count, and most words sent to the tasks (the most frequent stay).
+#: Words of the lexicon: least count, and most words that may be sent to the tasks (with more, a run fails).
 MIN_COUNT, MOST_WORDS = 3, 300_000
 #: A word this many times rarer than what it could be a misreading of is one.
 RARER = 20
@@ -74,14 +74,17 @@ def lexicon(observations: DataFrame, text: str = "raw") -> dict[str, int]:
     """Counts of the words of all reads, misreadings taken out.
 
     Counting runs over every row; only words seen ``MIN_COUNT`` times come to the
-    driver, the ``MOST_WORDS`` most frequent of them at most. A word goes if one
+    driver. More than ``MOST_WORDS`` of them are an error: without the rarer ones true
+    words would be taken for misreadings. A word goes if one
     confusion, or a missing space, makes it words ``RARER`` times as frequent.
     """
     whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)<\|ref\|>.*?<\|/ref\|>|<\|det\|>.*?<\|/det\|>|</?[A-Za-z][^<>]*>|\$[^$\n]*\$", " ")
     joined = F.regexp_replace(whole, rf"([\p{{L}}])[{HYPHENS}][ \t]*\n[ \t]*([\p{{L}}])", "$1$2")
     words = observations.select(F.explode(F.regexp_extract_all(F.lower(joined), F.lit(r"(\p{L}{2,})"), F.lit(1))).alias("w"))
-    rows = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
-    return cleaned({r[0]: r[1] for r in rows.collect()})
+    rows = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_COUNT).limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError("the lexicon is larger than what may be sent to the tasks")
+    return cleaned({r[0]: r[1] for r in rows})
 
 
 def cleaned(counts: dict[str, int]) -> dict[str, int]:

@@ -414,6 +414,15 @@ def test_cleaned_lexicon():
     assert set(out) == {"ohne", "die", "without", "with", "out"}
 
 
+def test_lexicon_is_whole_or_fails(spark, monkeypatch):
+    df = spark.createDataFrame([("the corner " * 5 + "burn " * 3,)], "raw string")
+    monkeypatch.setattr(scans, "MOST_WORDS", 3)
+    assert scans.lexicon(df) == {"the": 5, "corner": 5, "burn": 3}
+    monkeypatch.setattr(scans, "MOST_WORDS", 2)
+    with pytest.raises(ValueError, match="lexicon"):
+        scans.lexicon(df)
+
+
 def test_page_numbers():
     for line, want in {"35": (35, "alone"), "– 107 –": (107, "marked"), "39 / 512": (39, "marked"), "Page iii": (3, "marked"), "p. 24": (24, "marked"), "[155]": (155, "marked"), "-39-": (39, "marked"), "Lawful Bench 78": (78, "inside"), "12 Lawful Bench": (12, "inside"), "mix": None, "Bench": None, "": None}.items():
         assert scans.page_number(line) == want, line
