@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 MIN_COUNT, MOST_WORDS = 3, 300_000
 #: A word this many times rarer than what it could be a misreading of is one.
 RARER = 20
+#: Standard deviations by which a misreading may by chance be more frequent than that.
+CHANCE = 2.5
 #: Misread words that count as noise; pages a running line is on.
 MISREAD, PAGES = 3, 3
 #: Least share of a book's most frequent distance between number and place that another one needs.
@@ -75,8 +77,7 @@ def lexicon(observations: DataFrame, text: str = "raw") -> dict[str, int]:
 
     Counting runs over every row; only words seen ``MIN_COUNT`` times come to the
     driver. More than ``MOST_WORDS`` of them are an error: without the rarer ones true
-    words would be taken for misreadings. A word goes if one
-    confusion, or a missing space, makes it words ``RARER`` times as frequent.
+    words would be taken for misreadings. What goes is told by :func:`cleaned`.
     """
     whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)<\|ref\|>.*?<\|/ref\|>|<\|det\|>.*?<\|/det\|>|</?[A-Za-z][^<>]*>|\$[^$\n]*\$", " ")
     joined = F.regexp_replace(whole, rf"([\p{{L}}])[{HYPHENS}][ \t]*\n[ \t]*([\p{{L}}])", "$1$2")
@@ -88,10 +89,18 @@ def lexicon(observations: DataFrame, text: str = "raw") -> dict[str, int]:
 
 
 def cleaned(counts: dict[str, int]) -> dict[str, int]:
-    """A lexicon without the words that are frequent words misread or run together."""
+    """A lexicon without the words that are frequent words misread or run together.
+
+    A word goes if one or two confusions, or a missing space, make it words ``RARER`` times
+    as frequent. Of a word seen N times, N / ``RARER`` such forms are expected at most, and
+    by chance some standard deviations more: a form seen three times is trusted as little
+    as one seen three hundred times, and as sizes grow the ratio alone decides. Two words
+    that are frequent say little about whether they stood together, so chance isn't
+    allowed for a missing space: names (Corner|on) would be divided.
+    """
     out = {}
     for w, n in counts.items():
-        if any(counts.get(v, 0) >= RARER * n for v in unconfused(w, 1)):
+        if any(_by_chance(n, counts.get(v, 0)) for v in unconfused(w)):
             continue
         if len(w) > 4 and any(min(counts.get(w[:k], 0), counts.get(w[k:], 0)) >= RARER * n for k in range(2, len(w) - 1)):
             continue
@@ -99,6 +108,12 @@ def cleaned(counts: dict[str, int]) -> dict[str, int]:
     return out
 
 
+def _by_chance(n: int, of: int) -> bool:
+    """Whether a form seen ``n`` times may be a misreading of one seen ``of`` times."""
+    expected = of / RARER
+    return n <= expected + CHANCE * math.sqrt(expected)
+
+
 def unconfused(word: str, most: int = 2) -> list[str]:
     """What a lower-case word may be a reading of, with up to ``most`` confusions undone."""
     spots = []

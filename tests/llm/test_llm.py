@@ -414,6 +414,17 @@ def test_cleaned_lexicon():
     assert set(out) == {"ohne", "die", "without", "with", "out"}
 
 
+def test_cleaned_alike_at_every_size():
+    # Rare words' misreadings that were seen three times or more, and words that only look like some.
+    wrong = {"hypothcse": (3, "hypothese", 58), "quinbashavv": (3, "quinbashaw", 45), "falbarner": (5, "falbamer", 42), "dc": (8, "de", 147), "dcnnocb": (4, "dennoch", 220)}
+    assert not set(wrong) & set(scans.cleaned({w: n for w, (n, _, _) in wrong.items()} | {v: n for _, v, n in wrong.values()}))
+    split = {"corneron": 3, "corner": 50, "on": 4000, "underwrote": 130, "under": 1676, "wrote": 1700, "danach": 197, "da": 1809, "nach": 2500}
+    assert set(scans.cleaned(split)) == set(split)
+    # A pair of words holds at any size, and so does a misreading at the rate of one in thirty.
+    for size in (1, 10, 1000):
+        assert set(scans.cleaned({"hut": 4 * size, "but": 20 * size, "tbe": 3 * size, "the": 90 * size})) == {"hut", "but", "the"}
+
+
 def test_lexicon_is_whole_or_fails(spark, monkeypatch):
     df = spark.createDataFrame([("the corner " * 5 + "burn " * 3,)], "raw string")
     monkeypatch.setattr(scans, "MOST_WORDS", 3)
