@@ -595,10 +595,14 @@ def repaired_blocks(blocks: DataFrame, observations: DataFrame) -> DataFrame:
     are stretches of their reads, so only those without a read are counted for the
     lexicon as well.
     """
-    alone = blocks.dropDuplicates(["block_id"]).join(observations.filter("raw != ''").select("observation_id").distinct(), "observation_id", "left_anti")
+    from foliospark.session import cut_lineage
+
+    alone = blocks.join(observations.filter("raw != ''").select("observation_id").distinct(), "observation_id", "left_anti").dropDuplicates(["block_id"])
     counts = lexicon(observations.select("raw").unionByName(alone.select(F.col("markdown").alias("raw"))))
     pages = block_pages(blocks)
-    running = running_lines(page_edges(observations).unionByName(block_edges(pages))).filter("observation_id < 0")
+    # The edges are read a dozen times; without a checkpoint the pages would be put together as often.
+    edges = cut_lineage(page_edges(observations).unionByName(block_edges(pages)))
+    running = running_lines(edges).filter("observation_id < 0")
     drop = running.groupBy(F.col("observation_id").alias("page")).agg(F.collect_set("line_no").alias("drop"))
     rows = pages.join(drop, "page", "left").select("parts", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     shared = rows.sparkSession.sparkContext.broadcast(counts)
