@@ -1,7 +1,9 @@
 """A bidirectional LSTM in numpy that gives every leaf of a text its family.
 
 It reads, leaf by leaf and in both directions, the leaf's tag path and hashed words,
-so a shape that can mean several things is decided by the whole text around it.
+over all blocks of a page in their order, so a shape that can mean several things is
+decided by the whole page around it. Nothing is cut off: every word of a leaf, the
+whole path, and every leaf of a page, however long, is read.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ from zlib import crc32
 
 import numpy as np
 
-from foliospark.llm.leaves import ALLOWED, FAMILIES, KINDS, Leaf, leaves_of
+from foliospark.llm.leaves import ALLOWED, FAMILIES, KINDS, Leaf, Open, leaves_of
 
 #: Widths of the hashed tag path, the hashed words and the state of each direction.
 PATH, WORD, HIDDEN = 12, 16, 20
-SHAPE = 10
+SHAPE = 11
 INPUT = len(KINDS) + PATH + WORD + SHAPE
-#: Leaves of one sequence; longer texts are read in windows that overlap by a quarter.
-WINDOW = 256
+#: How much each further element outward counts in the path.
+OUTWARD = 0.6
+#: Leaves (padding included) in one batch of pages.
+CELLS = 60_000
 WEIGHTS = Path(__file__).with_name("labeller.npz")
 
 _WORDS = re.compile(r"[^\W\d_]+|\d+|\\[A-Za-z]+")
 _AT = {k: i for i, k in enumerate(KINDS)}
+#: Families of each kind as indices, none first.
+_MAY = {k: (0, *(FAMILIES.index(f) for f in may)) for k, may in ALLOWED.items()}
 
 
 @lru_cache(maxsize=100_000)
@@ -34,26 +40,45 @@ def _slot(word: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h & 0x10000 else -1.0
 
 
+def _path(held: dict[int, np.ndarray], node: Open | None) -> np.ndarray:
+    """The hashed path of an open element; each element's vector is its own and, weaker, that of what is around it."""
+    todo = []
+    while node is not None and id(node) not in held:
+        todo.append(node)
+        node = node.around
+    vector = held[id(node)] if node is not None else np.zeros(PATH, np.float32)
+    for n in reversed(todo):
+        vector = OUTWARD * np.roll(vector, 1)
+        k, sign = _slot(n.name, PATH)
+        vector[k] += sign
+        held[id(n)] = vector
+    return vector
+
+
 def features(text: str, leaves: Sequence[Leaf]) -> np.ndarray:
-    """One row per leaf: its kind, tag path, words and shape."""
+    """One row per leaf of one block: its kind, tag path, words and shape."""
     out = np.zeros((len(leaves), INPUT), np.float32)
     p0, w0, s0 = len(KINDS), len(KINDS) + PATH, len(KINDS) + PATH + WORD
+    held: dict[int, np.ndarray] = {}
     for i, leaf in enumerate(leaves):
-        row, part = out[i], text[leaf.start : min(leaf.end, leaf.start + 400)]
+        row, part = out[i], text[leaf.start : leaf.end]
         row[_AT[leaf.kind]] = 1
-        for depth, name in enumerate(leaf.path):
-            k, sign = _slot(f"{depth - len(leaf.path)}/{name}", PATH)
-            row[p0 + k] += sign
-        words = _WORDS.findall(part)[:24]
-        for word in words:
-            k, sign = _slot(word.lower(), WORD)
-            row[w0 + k] += sign / (1 + len(words)) ** 0.5
+        if leaf.path is not None:
+            row[p0:w0] = _path(held, leaf.path)
+        words = _WORDS.findall(part.lower())
+        if words:
+            total = [0.0] * WORD
+            for word in words:
+                k, sign = _slot(word, WORD)
+                total[k] += sign
+            row[w0:s0] = total
+            row[w0:s0] /= (1 + len(words)) ** 0.5
         before = text[leaf.start - 1] if leaf.start else "\n"
         after = text[leaf.end] if leaf.end < len(text) else "\n"
         inner = part.strip("$*_~'`=#[]{}|<> \n")
         row[s0 : s0 + SHAPE] = (
-            before.isalnum(), after.isalnum(), before == "\n", after == "\n", inner[:1].isdigit(),
-            any(c in inner for c in "=+^\\{"), " " in inner, len(words) == 0, min(len(part), 400) / 100, inner.count(" ") / (1 + len(inner)) * 5,
+            before.isalnum(), after.isalnum(), before == "\n", after == "\n", before == ":", inner[:1].isdigit(),
+            any(c in inner for c in "=+^\\{"), " " in inner, not words, i == 0, inner.count(" ") / (1 + len(inner)) * 5,
         )
     return out
 
@@ -148,36 +173,34 @@ class Labeller:
             grad |= {"w" + side: x.reshape(-1, x.shape[2]).T @ flat_d, "u" + side: g_u, "b" + side: flat_d.sum(0)}
         return loss, grad
 
-    def label(self, texts: Sequence[str], batch: int = 512) -> list[tuple[list[Leaf], np.ndarray]]:
-        """Leaves of each text and their families (indices of ``FAMILIES``), read to the end.
+    def label(self, pages: Sequence[Sequence[str]]) -> list[list[tuple[list[Leaf], np.ndarray]]]:
+        """For each page (its blocks' texts in order) and block: the leaves and their families (indices of ``FAMILIES``).
 
-        After the network's scores an exact check holds: a leaf gets only a family its
-        shape can belong to, or none.
+        A leaf gets the family of the best score among those its shape can have and
+        none. Pages of like length share a batch; a page is one sequence, whatever its length.
         """
-        found = [leaves_of(t) for t in texts]
-        out = [np.zeros(len(leaves), np.int8) for leaves in found]
+        found = [[leaves_of(t) for t in page] for page in pages]
+        out = [[np.zeros(len(leaves), np.int8) for leaves in page] for page in found]
         jobs = []
-        for i, leaves in enumerate(found):
-            if all(not ALLOWED[leaf.kind] for leaf in leaves):
-                continue
-            step = WINDOW * 3 // 4
-            for a in range(0, max(1, len(leaves) - WINDOW // 4), step):
-                jobs.append((i, a, min(len(leaves), a + WINDOW)))
-        jobs.sort(key=lambda j: j[2] - j[1])
-        for s in range(0, len(jobs), batch):
-            part = jobs[s : s + batch]
-            longest = part[-1][2] - part[-1][1]
-            x = np.zeros((longest, len(part), INPUT), np.float32)
-            mask = np.zeros((longest, len(part), 1), np.float32)
-            for k, (i, a, b) in enumerate(part):
-                x[: b - a, k] = features(texts[i], found[i][a:b])
-                mask[: b - a, k] = 1
+        for i, page in enumerate(found):
+            if any(ALLOWED[leaf.kind] for leaves in page for leaf in leaves):
+                jobs.append((sum(map(len, page)), i))
+        jobs.sort(reverse=True)
+        while jobs:
+            size = max(1, CELLS // jobs[0][0])
+            part, jobs = jobs[:size], jobs[size:]
+            x = np.zeros((part[0][0], len(part), INPUT), np.float32)
+            mask = np.zeros((part[0][0], len(part), 1), np.float32)
+            for k, (n, i) in enumerate(part):
+                x[:n, k] = np.concatenate([features(t, leaves) for t, leaves in zip(pages[i], found[i])])
+                mask[:n, k] = 1
             score = self.scores(x, mask)
-            for k, (i, a, b) in enumerate(part):
-                edge = WINDOW // 8 if a else 0
-                for t in range(edge, b - a):
-                    may = ALLOWED[found[i][a + t].kind]
-                    if may:
-                        best = max((0, *(FAMILIES.index(f) for f in may)), key=lambda c: score[t, k, c])
-                        out[i][a + t] = best
-        return list(zip(found, out))
+            for k, (_, i) in enumerate(part):
+                t = 0
+                for leaves, families in zip(found[i], out[i]):
+                    for j, leaf in enumerate(leaves):
+                        may = _MAY[leaf.kind]
+                        if len(may) > 1:
+                            families[j] = max(may, key=score[t, k].__getitem__)
+                        t += 1
+        return [list(zip(page, families)) for page, families in zip(found, out)]

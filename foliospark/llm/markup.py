@@ -29,10 +29,6 @@ _FORMULAS = frozenset("equation align gather multline eqnarray displaymath math"
 _BLOCKS = frozenset("p div ul ol table section article header footer blockquote dl figure".split())
 
 
-def _cells(line: str) -> str:
-    return " | ".join(c.strip() for c in re.split(r"(?<!\\)\|", line.strip().strip("|")))
-
-
 def _html(part: str, kind: str) -> str:
     if kind in ("comment", "doctype"):
         return ""
@@ -70,9 +66,9 @@ def _markdown(part: str, kind: str) -> str:
         return ("# " if "=" in line else "## ") + head.strip()
     if kind in ("task", "bullet"):
         return re.match(r"[ \t]*", part)[0] + "- "
-    if kind == "row":
-        return "" if re.fullmatch(r"[\s|:-]+", part) else _cells(part)
-    if kind in ("quote", "ruler", "note", "definition"):
+    if kind == "pipe":
+        return " | "
+    if kind in ("quote", "row", "ruler", "note", "definition"):
         return ""
     if kind in ("image", "link"):
         return re.match(r"!?\[([^\]]*)\]", part)[1]
@@ -97,13 +93,7 @@ def _wiki(part: str, kind: str) -> str:
     if kind == "template":
         values = [p.split("=", 1)[-1].strip() for p in part[2:-2].split("|")[1:]]
         return ", ".join(v for v in values if v)
-    rows = []
-    for line in part.strip().split("\n")[1:]:
-        line = line.strip()
-        if line.startswith(("|-", "|}", "|+")) or not line:
-            continue
-        rows.append(" | ".join(c.strip() for c in re.split(r"\|\||!!", line.lstrip("|!"))))
-    return "\n".join(rows)
+    return " | " if kind == "pipe" else ""
 
 
 def _latex(part: str, kind: str) -> str:
@@ -139,37 +129,59 @@ def render(text: str, leaves: list[Leaf], families) -> str:
     out = []
     for leaf, family in zip(leaves, families):
         part = text[leaf.start : leaf.end]
+        if family and leaf.kind == "pipe" and out:
+            out[-1] = out[-1].rstrip(" \t")
         out.append(_BY[FAMILIES[family]](part, leaf.kind) if family else part)
     joined = re.sub(r"[ \t]+\n", "\n", "".join(out))
     joined = re.sub(r"(?: \|)+[ \t]*(?=\n|\Z)", "", joined)
     return re.sub(r"\n{3,}", "\n\n", joined).strip()
 
 
-_STRUCTURE = {"fence": "code", "hashes": "heading", "underlined": "heading", "equals": "heading", "task": "list", "bullet": "list", "number": "list", "row": "table", "wiki_table": "table", "display": "formula", "inline": "formula", "dollar": "formula"}
+#: Blocks of a page that are read as one sequence; more are read in stretches, so that no page is a task of its own.
+STRETCH = 256
 CLEANED = "_key bigint, families array<string>, clean_text string, n_leaves int, n_formulas int, n_code int"
 
 
-def clean_markup(df: DataFrame, key: str, text: str, texts: bool = True, frontmatter: bool = False) -> DataFrame:
+def clean_markup(df: DataFrame, key: str, text: str, texts: bool = True, frontmatter: bool = False, page: str | None = None, order: str | None = None) -> DataFrame:
     """(key, families, clean_text, n_leaves, n_formulas, n_code), one row per key.
 
     ``families`` are the markup families found in the text, sorted. Every text is read
-    whole and alone, without a shuffle before it; of repeated keys one stays. A null or
-    empty text has no families and empty clean text; a null key is dropped.
-    ``texts=False`` leaves the clean text out; ``frontmatter`` drops a leading block of
-    fields, which is no text.
+    whole; with ``page`` and ``order`` the texts of a page are read as one sequence in
+    their order (a null page is a page of one text), without them each text is alone and
+    not shuffled. Of repeated keys one stays. A null or empty text has no families and
+    empty clean text; a null key is dropped. ``texts=False`` leaves the clean text out;
+    ``frontmatter`` drops a leading block of fields, which is no text.
     """
 
     front = re.compile(r"\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Labeller.load()
-        for batch in batches:
-            values = [front.sub("", v) if frontmatter and v else v or "" for v in batch["_text"]]
-            rows = []
-            for k, value, (leaves, families) in zip(batch["_key"], values, model.label(values)):
+    def rows_of(model: Labeller, pages: list[list[tuple[int, str]]]) -> pd.DataFrame:
+        rows = []
+        for own, labelled in zip(pages, model.label([[t for _, t in p] for p in pages])):
+            for (k, value), (leaves, families) in zip(own, labelled):
                 kinds = [(leaf.kind, f) for leaf, f in zip(leaves, families) if f]
                 rows.append((k, sorted({FAMILIES[f] for _, f in kinds}), render(value, leaves, families) if texts else None, len(leaves), sum(n in ("display", "inline", "dollar", "environment") for n, _ in kinds), sum(n == "fence" for n, _ in kinds)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CLEANED.split(", ")])
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CLEANED.split(", ")])
 
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Labeller.load()
+        last, own = None, []
+        for batch in batches:
+            pages: list[list[tuple[int, str]]] = []
+            for place, k, value in zip(batch["_page"], batch["_key"], batch["_text"]):
+                if place is None or place != last:
+                    pages.append(own)
+                    last, own = place, []
+                if not own or own[-1][0] != k:
+                    own.append((k, front.sub("", value) if frontmatter and value else value or ""))
+            yield rows_of(model, [p for p in pages if p])
+        if own:
+            yield rows_of(model, [own])
+
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *([F.col(page).alias("_p"), F.coalesce(F.col(order).cast("bigint"), F.lit(0)).alias("_o")] if page else []))
+    if page:
+        place = F.concat_ws("/", F.coalesce(F.col("_p").cast("string"), F.concat(F.lit("alone "), F.col("_key").cast("string"))), F.floor(F.col("_o") / STRETCH).cast("string"))
+        rows = rows.withColumn("_page", place).repartition("_page").sortWithinPartitions("_page", "_o", "_key").select("_key", "_text", "_page")
+    else:
+        rows = rows.withColumn("_page", F.lit(None).cast("string"))
     return rows.mapInPandas(clean, CLEANED).dropDuplicates(["_key"]).withColumnRenamed("_key", key)

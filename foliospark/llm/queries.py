@@ -94,12 +94,12 @@ def register(to: Registry) -> None:
 
     @to.query("p1_found")
     def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-        out = markup.clean_markup(table(spark, folder, "blocks", "block_id", "markdown"), "block_id", "markdown", texts=False)
+        out = markup.clean_markup(table(spark, folder, "blocks", "block_id", "observation_id", "ordinal", "markdown"), "block_id", "markdown", texts=False, page="observation_id", order="ordinal")
         return out.select("block_id", F.explode("families").alias("family"))
 
     @to.query("p1_clean_blocks")
     def p1_clean_blocks(spark: SparkSession, folder: str) -> DataFrame:
-        return markup.clean_markup(table(spark, folder, "blocks", "block_id", "markdown"), "block_id", "markdown")
+        return markup.clean_markup(table(spark, folder, "blocks", "block_id", "observation_id", "ordinal", "markdown"), "block_id", "markdown", page="observation_id", order="ordinal")
 
     @to.query("p1_clean_pages")
     def p1_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
