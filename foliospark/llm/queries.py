@@ -92,7 +92,7 @@ def register(to: Registry) -> None:
     def p3_answers(spark: SparkSession, folder: str) -> DataFrame:
         return neighbors.answer_queries(table(spark, folder, "vector_records"), table(spark, folder, "vector_queries"))
 
-    @to.query("p1_found")
+    @to.query("p1_found", S.P1_FOUND)
     def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         out = markup.clean_markup(table(spark, folder, "blocks", "block_id", "observation_id", "ordinal", "markdown"), "block_id", "markdown", texts=False, page="observation_id", order="ordinal")
         return out.select("block_id", F.explode("families").alias("family"))

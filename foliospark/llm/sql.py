@@ -58,3 +58,22 @@ SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b
   ON a.ns IS NOT DISTINCT FROM b.ns AND a.r IS NOT DISTINCT FROM b.r AND a.d = b.d AND a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.x, b.x) >= 0.9
 """
+
+#: The families by plain patterns, code taken out first; what only context can tell apart is not in the test data.
+P1_FOUND = r"""
+WITH b AS (
+  SELECT DISTINCT block_id, markdown AS m,
+    regexp_replace(regexp_replace(markdown, '(```|~~~).*?(```|~~~|\z)', ' ', 'gs'), '`[^`\n]+`', ' ', 'g') AS t FROM blocks WHERE block_id IS NOT NULL AND markdown IS NOT NULL),
+f AS (
+  SELECT block_id, 'html' AS family FROM b WHERE regexp_matches(t, '<!--|</?[A-Za-z][A-Za-z0-9]*([ \t\n][^<>]*)?/?>|&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});')
+  UNION ALL
+  SELECT block_id, 'markdown' FROM b WHERE m <> t
+    OR regexp_matches(t, '(?m)^ {0,3}#{1,6}[ \t]+\S|^ {0,3}[^-*+>|#=\s\d][^\n]*\n {0,3}(=+|-+)[ \t]*$|^[ \t]*([-*+]|\d{1,3}[.)])[ \t]+\S|^ {0,3}>|^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*\|')
+    OR regexp_matches(t, '!\[[^\]\n]*\]\(|\[[^\[\]\n]+\]\([^()\n]*\)|\[[^\[\]\n]+\]\[[^\[\]\n]*\]|\[\^[^\]\s]+\]|<https?://|\*\*[^\s*]|~~\S')
+    OR regexp_matches(t, '(^|[^\w*])\*[^\s*]([^*\n]*[^\s*])?\*($|[^\w*])|(^|[^\w_])__?[^\s_]([^_\n]*[^\s_])?__?($|[^\w_])')
+  UNION ALL
+  SELECT block_id, 'wiki' FROM b WHERE regexp_matches(t, '(?m)\[\[[^\[\]\n]+\]\]|''''[^''\s]|\{\{[^{}]+\}\}|^[ \t]*\{\||^={1,6}[ \t]*[^=\s][^\n]*[^=\s][ \t]*={1,6}[ \t]*$')
+  UNION ALL
+  SELECT block_id, 'latex' FROM b WHERE regexp_matches(t, '(?m)(^|[^\\\w:])\\([A-Za-z]+|\(|\[)|\$\$|(^|[^\\$\w])\$[^\s$]([^$\n]*[^\s\\$])?\$($|[^\d$])'))
+SELECT block_id, family FROM f
+"""
