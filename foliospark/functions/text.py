@@ -28,6 +28,16 @@ def tokens(text: Column | str) -> Column:
     return F.transform(raw_tokens(text), lambda x: F.lower(x))
 
 
+def lowered_tokens(text: Column | str, low: Column | str) -> Column:
+    """What :func:`tokens` gives, in generated code: ``low``, the lower-cased text, is cut.
+
+    Only texts with a letter whose lower case depends on its place or becomes shorter
+    (a sigma, the Kelvin sign, a dotted I) are cut first.
+    """
+    c = _c(text)
+    return F.when(c.rlike("[\u03a3\u212a\u0130]"), tokens(c)).otherwise(raw_tokens(low))
+
+
 def search_text(*parts: Column | str) -> Column:
     """Searchable text of a row: its parts joined by spaces, nulls left out."""
     return F.concat_ws(" ", *[_c(p) for p in parts])
