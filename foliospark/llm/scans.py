@@ -1,9 +1,10 @@
 """Text from scanned pages, repaired.
 
 The words of a page are decoded jointly over its de-lined character stream: a path
-through kept words, words with confused characters, letters drawn together, words
-run together and words divided at a line's end, at the least cost under a lexicon
-counted over all observations. Paragraph ends are chosen by dynamic programming over
+through kept words, words with confused characters, letters and fragments drawn
+apart, words run together and words divided at a line's end, at the least cost under
+a lexicon counted over all observations. Line ends are characters of the stream like
+others. Where no edge but that of single words can exist, the path is theirs alone. Paragraph ends are chosen by dynamic programming over
 the lines. Running lines and page numbers show only across the pages of a book: lines
 at the edges of pages are compared by keys of their folded characters, page numbers by
 their constant distance from the page's place.
@@ -21,9 +22,10 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.session import cut_lineage
+
 #: Words of the lexicon: least count, and most words that may be sent to the tasks (with more, a run fails).
 MIN_COUNT, MOST_WORDS = 3, 300_000
 #: A word this many times rarer than what it could be a misreading of is one.
@@ -32,6 +34,8 @@ RARER = 20
 CHANCE = 2.5
 #: Misread words that count as noise; pages a running line is on.
 MISREAD, PAGES = 3, 3
+#: Letters of a word beyond which it is no word of a language, and is not looked at for two confusions or more than two words.
+LONGEST = 64
 #: Least share of a book's most frequent distance between number and place that another one needs.
 SHIFT_SHARE = 0.1
 
@@ -49,6 +53,10 @@ _DIVIDED = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*\n[ \t]*([^\W\d_]+)")
 _OPAQUE = re.compile(r"```.*?```|~~~.*?~~~|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|`[^`\n]*`|<!--.*?-->|</?[A-Za-z][^<>]*>|&#?\w+;|\\begin\{equation\*?\}.*?\\end\{equation\*?\}|\\begin\{align\*?\}.*?\\end\{align\*?\}|\\[A-Za-z]+\*?(?:\{[^{}]*\})?|\{\{[^{}]*\}\}|\S*[/_\\]\S*|\[\[|\]\]", re.S)
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@†�](?=\w|[@†�])|[@†�])*|[@†�]+[^\W_][\w@†�]*|[^\s\w]|\s+")
 _ODD = re.compile(r"[@†�ſ]")
+#: The tokens of letters, digits and odd signs.
+_WORDS = re.compile(r"[^\W_](?:[^\W_]|[@†�](?=\w|[@†�])|[@†�])*|[@†�]+[^\W_][\w@†�]*|[@†�]")
+#: Where an edge over several tokens may begin: a dividing mark before a line's end, or letters drawn apart.
+_JOINED = re.compile(rf"[{HYPHENS}][ \t]*\n|(?:^|[\W_])(?:[^\W\d_]|[@†�])(?:[{HYPHENS}]?\s+(?:[^\W\d_]|[@†�])(?![^\W_])){{2}}")
 
 
 def bare(raw: str) -> str:
@@ -122,13 +130,54 @@ def unconfused(word: str, most: int = 2) -> list[str]:
             for to in CONFUSED.get(word[i : i + width], ()) if i + width <= len(word) else ():
                 spots.append((i, i + width, to))
     out = [word[:a] + to + word[b:] for a, b, to in spots]
-    if most > 1 and len(spots) <= 12:
+    if most > 1 and len(word) <= LONGEST:
         for (a, b, x), (c, d, y) in product(spots, spots):
             if b <= c:
                 out.append(word[:a] + x + word[b:c] + y + word[d:])
     return out
 
 
+def _zones(text: str) -> list[tuple[int, int]]:
+    """Stretches of whole words in which edges over several tokens may lie, with a word on each side."""
+    out: list[tuple[int, int]] = []
+    for m in _JOINED.finditer(text):
+        a, b = m.start(), m.end()
+        if out and b <= out[-1][1]:
+            continue
+        for _ in range(2):
+            while a and text[a - 1].isspace():
+                a -= 1
+            while a and not text[a - 1].isspace():
+                a -= 1
+        # On over single letters, then one word more.
+        more = True
+        while b < len(text) and more:
+            while b < len(text) and not text[b].isspace():
+                b += 1
+            begin = b
+            while begin < len(text) and text[begin].isspace():
+                begin += 1
+            b = begin
+            while b < len(text) and not text[b].isspace():
+                b += 1
+            more = b - begin <= 2
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _first(text: str) -> str:
+    m = _WORDS.search(text)
+    return m[0] if m else ""
+
+
+def _last(text: str) -> str:
+    words = _WORDS.findall(text[text.rstrip().rfind(" ") + 1 :])
+    return words[-1] if words else ""
+
+
 class Decoder:
     """Least-cost reading of a token stream under a lexicon."""
 
@@ -147,9 +196,12 @@ class Decoder:
         self.grams, self.ends = grams, ends
         self.holes: dict[tuple[int, int, str], list[str]] = {}
         self.wrong = WRONG
+        self.least = min(5.0, self.wrong - HINT + min(self.cost.values(), default=0.0))
         self.hinted: dict[float, Decoder] = {}
+        self.seen: dict[str, tuple[str, str] | None] = {}
         self.fixed = lru_cache(maxsize=50_000)(self._fixed)
         self.spelled = lru_cache(maxsize=50_000)(self._spelled)
+        self.part = lru_cache(maxsize=50_000)(self._part)
 
     def at(self, confidence: float | None) -> Decoder:
         """The decoder for a text of this confidence: what is less sure is sooner a misreading; null is the usual."""
@@ -160,8 +212,8 @@ class Decoder:
             return self
         if wrong not in self.hinted:
             other = copy.copy(self)
-            other.wrong, other.hinted = wrong, {}
-            other.fixed = lru_cache(maxsize=50_000)(other._fixed)
+            other.wrong, other.hinted, other.seen = wrong, {}, {}
+            other.fixed, other.part = lru_cache(maxsize=50_000)(other._fixed), lru_cache(maxsize=50_000)(other._part)
             self.hinted[wrong] = other
         return self.hinted[wrong]
 
@@ -195,7 +247,7 @@ class Decoder:
         if not (has_digit or odd):
             best = min(best, (14.0 + spell, word, "kept"))
         if "�" in word:
-            for v in self._fill(word)[:50]:
+            for v in self._fill(word):
                 best = min(best, (self.cost[v] + 4.0 * word.count("�"), v, "confused"))
         for v in unconfused(word):
             if v in self.known:
@@ -205,15 +257,46 @@ class Decoder:
         if len(word) > 3 and not has_digit:
             for k in range(1, len(word)):
                 a, b = word[:k], word[k:]
+                # No reading of a part that isn't known is cheaper than this.
+                if self.cost.get(a, self.least) + self.cost.get(b, self.least) + self.wrong >= best[0]:
+                    continue
                 if (len(a) == 1 and a not in "aàyeoé") or (len(b) == 1 and b not in "aày"):
                     continue
-                for x, ca in self._part(a):
-                    for y, cb in self._part(b):
+                for x, ca in self.part(a):
+                    for y, cb in self.part(b):
                         best = min(best, (ca + cb + self.wrong, f"{x} {y}", "split"))
+        if 8 < len(word) <= LONGEST and word.isalpha():
+            best = min(best, self._several(word))
         if best[2] == "kept" and odd:
             best = (best[0], word, "odd")
         return best
 
+    def _several(self, word: str) -> tuple[float, str, str]:
+        """The cheapest reading as three known words or more that ran together."""
+        n = len(word)
+        # By end and by number of parts, three standing for more: (cost, begin, parts before).
+        cost: list[list[tuple[float, int, int]]] = [[(math.inf, 0, 0)] * 4 for _ in range(n + 1)]
+        cost[0][0] = (0.0, 0, 0)
+        for k in range(2, n + 1):
+            for j in range(k - 1):
+                own = self.cost.get(word[j:k])
+                if own is None:
+                    continue
+                for parts in range(4):
+                    step = (cost[j][parts][0] + own + (2 * self.wrong if parts else 0.0), j, parts)
+                    to = min(parts + 1, 3)
+                    if step[0] < cost[k][to][0]:
+                        cost[k][to] = step
+        total, at, parts = cost[n][3][0], n, 3
+        if total == math.inf:
+            return (math.inf, word, "split")
+        out = []
+        while at:
+            _, j, before = cost[at][parts]
+            out.append(word[j:at])
+            at, parts = j, before
+        return (total, " ".join(reversed(out)), "split")
+
     def _part(self, word: str) -> list[tuple[str, float]]:
         if word in self.known:
             return [(word, self.cost[word])]
@@ -231,6 +314,23 @@ class Decoder:
         token are edges of one lattice; the cheapest path wins.
         """
         count = {"confused": 0, "odd": 0, "split": 0, "spaced": 0, "hyphen": 0}
+        out, at = [], 0
+        for a, b in [*_zones(text), (len(text), len(text))]:
+            plain, zone = text[at:a], text[a:b]
+            if plain:
+                edge = zone and self._fragments(_last(plain).lower(), _first(zone).lower())
+                if edge or out and self._fragments(_last(text[:at]).lower(), _first(plain).lower()):
+                    count.update(dict.fromkeys(count, 0))
+                    return self._lattice(text, count), count
+                alone = self._alone(plain, count)
+                out.append(self._lattice(plain, count) if alone is None else alone)
+            if zone:
+                out.append(self._lattice(zone, count))
+            at = b
+        return "".join(out), count
+
+    def _lattice(self, text: str, count: dict[str, int]) -> str:
+        """The cheapest path over all edges; ``count`` is added to."""
         tokens = _TOKEN.findall(text)
         n = len(tokens)
         best: list[tuple[float, int, str, str]] = [(math.inf, 0, "", "")] * (n + 1)
@@ -263,6 +363,10 @@ class Decoder:
                 else:
                     cost, reading, how = self.fixed(whole)
                     offer(i + 4, cost, _cased(token, reading) if how == "confused" else token + tokens[i + 3], "hyphen")
+            # Two fragments of a word.
+            if i + 2 < n and tokens[i + 1].isspace() and self._fragments(low, tokens[i + 2].lower()):
+                whole = low + tokens[i + 2].lower()
+                offer(i + 3, self.cost[whole] + self.wrong, token + tokens[i + 2], "spaced")
             # Letters drawn apart.
             if len(token) == 1 and i + 4 < n:
                 j, word = i, ""
@@ -287,7 +391,47 @@ class Decoder:
             if how in count:
                 count[how] += 1
             at = i
-        return "".join(reversed(out)), count
+        return "".join(reversed(out))
+
+
+    def _fragments(self, a: str, b: str) -> bool:
+        """Whether two tokens (not both words) may be the halves of a known word of five letters or more."""
+        return len(a) > 1 and len(b) > 1 and len(a) + len(b) > 4 and not (a in self.known and b in self.known) and a + b in self.known
+
+    def _reading(self, token: str) -> tuple[str, str] | None:
+        """How a token of several characters reads by itself; None if as it is."""
+        low = token.lower()
+        if low in self.known:
+            return None
+        _, reading, how = self.fixed(low)
+        return (token if how == "odd" else _cased(token, reading), how) if how != "kept" else None
+
+    def _alone(self, text: str, count: dict[str, int]) -> str | None:
+        """The mended text if only single words can be edges of its lattice, else None; outside the zones of :func:`_zones`."""
+        words = _WORDS.findall(text)
+        known, seen = self.known, self.seen
+        changed, found = {}, dict.fromkeys(count, 0)
+        for i, token in enumerate(words):
+            if token in seen:
+                reading = seen[token]
+            else:
+                reading = self._reading(token) if len(token) > 1 else None
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen[token] = reading
+            if reading is not None:
+                changed[token] = reading[0]
+                found[reading[1]] += 1
+            low = token.lower()
+            if low not in known and len(low) > 1:
+                for a, b in ((words[i - 1].lower() if i else "", low), (low, words[i + 1].lower() if i + 1 < len(words) else "")):
+                    if self._fragments(a, b):
+                        return None
+        if not changed:
+            return text
+        for how, n in found.items():
+            count[how] += n
+        return _WORDS.sub(lambda m: changed.get(m[0], m[0]), text)
 
 
 def _cased(token: str, reading: str) -> str:
@@ -437,16 +581,18 @@ def running_lines(edges: DataFrame, pages: int = PAGES) -> DataFrame:
         F.struct(F.lit(2).alias("part"), F.expr("right(skeleton, 7)").alias("key")),
         F.struct(F.lit(3).alias("part"), F.expr("substring(skeleton, cast(floor(length(skeleton) / 2) as int) - 2, 6)").alias("key")),
     )
-    keyed = lines.withColumn("k", F.explode(F.when(n >= 8, keys).otherwise(F.slice(keys, 1, 1)))).select("observation_id", "book_id", "page_no", "line_no", "skeleton", "k.part", "k.key")
+    keyed = lines.withColumn("k", F.explode(F.when(n >= 8, keys).otherwise(F.slice(keys, 1, 1)))).select("book_id", "page_no", "skeleton", "k.part", "k.key")
     group = ["book_id", "part", "key"]
     forms = keyed.groupBy(*group, "skeleton").agg(F.count_distinct("page_no").alias("n"))
-    # The form most often seen, the smaller on a tie.
+    # The form most often seen, the smaller on a tie. From here on a line text of a book is one row, however many pages it is on.
     mode = forms.groupBy(*group).agg(F.max(F.struct("n", "skeleton")).alias("m"), F.sum("n").alias("total")).filter(F.col("total") >= pages).select(*group, F.col("m.skeleton").alias("form"))
     same = F.col("a.book_id").eqNullSafe(F.col("c.book_id")) & (F.col("a.part") == F.col("c.part")) & (F.col("a.key") == F.col("c.key"))
-    near = keyed.alias("a").join(mode.alias("c"), same).select("a.observation_id", "a.book_id", "a.page_no", "a.line_no", "a.skeleton", "c.form")
-    near = near.filter(F.levenshtein("skeleton", "form") <= F.greatest(F.lit(1), (F.length("form") * 0.3).cast("int")))
-    often = near.groupBy("book_id", "form").agg(F.count_distinct("page_no").alias("n")).filter(F.col("n") >= pages).select(F.col("book_id").alias("_b"), F.col("form").alias("_f"))
-    headers = near.join(often, F.col("book_id").eqNullSafe(F.col("_b")) & (F.col("form") == F.col("_f")), "left_semi").select("observation_id", "line_no", F.lit("header").alias("noise")).distinct()
+    near = forms.alias("a").join(mode.alias("c"), same).select("a.book_id", "a.skeleton", "c.form")
+    near = near.filter(F.levenshtein("skeleton", "form") <= F.greatest(F.lit(1), (F.length("form") * 0.3).cast("int"))).distinct()
+    placed = lines.select("book_id", "skeleton", "page_no").distinct().alias("a").join(near.alias("c"), F.col("a.book_id").eqNullSafe(F.col("c.book_id")) & (F.col("a.skeleton") == F.col("c.skeleton")))
+    often = placed.groupBy("c.book_id", "c.form").agg(F.count_distinct("a.page_no").alias("n")).filter(F.col("n") >= pages).select(F.col("book_id").alias("_b"), F.col("form").alias("_f"))
+    kept = near.join(often, F.col("book_id").eqNullSafe(F.col("_b")) & (F.col("form") == F.col("_f")), "left_semi").select(F.col("book_id").alias("_b"), F.col("skeleton").alias("_k")).distinct()
+    headers = lines.join(kept, F.col("book_id").eqNullSafe(F.col("_b")) & (F.col("skeleton") == F.col("_k")), "left_semi").select("observation_id", "line_no", F.lit("header").alias("noise")).distinct()
     numbers = edges.filter("number is not null").withColumn("shift", F.col("number") - F.col("page_no"))
     votes = numbers.groupBy("book_id", "shift").agg(F.count_distinct("page_no").alias("votes"))
     # One row per book and distance; the most frequent distance of a book by partial aggregation.
@@ -543,14 +689,15 @@ def noise(observations: DataFrame) -> DataFrame:
     words = decoded(observations, lexicon(observations), texts=False)
     kinds = F.array_compact(F.array(F.when(F.col("hyphen") > 0, F.lit("hyphen")), F.when(F.col("misread") >= MISREAD, F.lit("misread"))))
     own = words.select("observation_id", F.explode(kinds).alias("noise"))
-    edges = running_lines(page_edges(observations)).select("observation_id", "noise")
+    # The edges are read a dozen times; they are short, the reads are not.
+    edges = running_lines(cut_lineage(page_edges(observations))).select("observation_id", "noise")
     return own.unionByName(edges).distinct()
 
 
 def repaired(observations: DataFrame) -> DataFrame:
     """(observation_id, text): every read as continuous paragraphs, one row per id."""
     once = observations.dropDuplicates(["observation_id"])
-    return decoded(once, lexicon(observations), running_lines(page_edges(observations))).select("observation_id", "text")
+    return decoded(once, lexicon(observations), running_lines(cut_lineage(page_edges(observations)))).select("observation_id", "text")
 
 
 _BLOCK_PAGE = ["observation_id", "book_id", "page_no"]
@@ -595,8 +742,6 @@ def repaired_blocks(blocks: DataFrame, observations: DataFrame) -> DataFrame:
     are stretches of their reads, so only those without a read are counted for the
     lexicon as well.
     """
-    from foliospark.session import cut_lineage
-
     alone = blocks.join(observations.filter("raw != ''").select("observation_id").distinct(), "observation_id", "left_anti").dropDuplicates(["block_id"])
     counts = lexicon(observations.select("raw").unionByName(alone.select(F.col("markdown").alias("raw"))))
     pages = block_pages(blocks)
