@@ -44,6 +44,7 @@ WRONG, USUAL, HINT = 5.0, 0.9, 2.0
 
 #: What is read for what (fixed values: characters that look alike in print).
 CONFUSED = {"c": ("e",), "cl": ("d",), "ſ": ("s",), "ii": ("u",), "b": ("h",), "rn": ("m",), "vv": ("w",), "@": ("a",), "†": ("t",), "0": ("o",), "1": ("l", "i"), "5": ("s",)}
+_SPOTS = tuple(re.compile("(?=(" + "|".join(k for k in CONFUSED if len(k) == width) + "))") for width in (1, 2))
 #: Signs that divide a word at a line's end.
 HYPHENS = "-­¬‐‑"
 
@@ -51,8 +52,12 @@ _MARK = re.compile(r"<\|ref\|>(.*?)<\|/ref\|>\s*<\|det\|>.*?<\|/det\|>", re.S)
 _DIVIDED = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*\n[ \t]*([^\W\d_]+)")
 #: Formulas, code, tags and commands hold no words to mend.
 _OPAQUE = re.compile(r"```.*?```|~~~.*?~~~|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|`[^`\n]*`|<!--.*?-->|</?[A-Za-z][^<>]*>|&#?\w+;|\\begin\{equation\*?\}.*?\\end\{equation\*?\}|\\begin\{align\*?\}.*?\\end\{align\*?\}|\\[A-Za-z]+\*?(?:\{[^{}]*\})?|\{\{[^{}]*\}\}|\S*[/_\\]\S*|\[\[|\]\]", re.S)
+#: Without one of these signs nothing is opaque.
+_SIGNS = re.compile(r"[`~$<&{/_\\]|\[\[|\]\]")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@†�](?=\w|[@†�])|[@†�])*|[@†�]+[^\W_][\w@†�]*|[^\s\w]|\s+")
 _ODD = re.compile(r"[@†�ſ]")
+#: Cost of a letter after a pair that no word has.
+_UNSEEN = -math.log(0.02)
 #: The tokens of letters, digits and odd signs.
 _WORDS = re.compile(r"[^\W_](?:[^\W_]|[@†�](?=\w|[@†�])|[@†�])*|[@†�]+[^\W_][\w@†�]*|[@†�]")
 #: Where an edge over several tokens may begin: a dividing mark before a line's end, or letters drawn apart.
@@ -124,11 +129,9 @@ def _by_chance(n: int, of: int) -> bool:
 
 def unconfused(word: str, most: int = 2) -> list[str]:
     """What a lower-case word may be a reading of, with up to ``most`` confusions undone."""
-    spots = []
-    for i in range(len(word)):
-        for width in (1, 2):
-            for to in CONFUSED.get(word[i : i + width], ()) if i + width <= len(word) else ():
-                spots.append((i, i + width, to))
+    spots = [(m.start(), m.end(m.lastindex), to) for pattern in _SPOTS for m in pattern.finditer(word) for to in CONFUSED[m[1]]]
+    if not spots:
+        return []
     out = [word[:a] + to + word[b:] for a, b, to in spots]
     if most > 1 and len(word) <= LONGEST:
         for (a, b, x), (c, d, y) in product(spots, spots):
@@ -185,7 +188,7 @@ class Decoder:
         total = sum(counts.values()) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.known = set(counts)
-        # Letter trigrams of the lexicon's words, for names it doesn't hold.
+        # Letter trigrams of the lexicon's words, for names it doesn't hold: the cost of each, and of none after a pair.
         grams: dict[str, int] = {}
         ends: dict[str, int] = {}
         for w in counts:
@@ -193,10 +196,12 @@ class Decoder:
             for i in range(len(padded) - 2):
                 grams[padded[i : i + 3]] = grams.get(padded[i : i + 3], 0) + 1
                 ends[padded[i : i + 2]] = ends.get(padded[i : i + 2], 0) + 1
-        self.grams, self.ends = grams, ends
+        self.grams = {g: -math.log((n + 0.02) / (ends[g[:2]] + 1.0)) for g, n in grams.items()}
+        self.ends = {e: -math.log(0.02 / (n + 1.0)) for e, n in ends.items()}
         self.holes: dict[tuple[int, int, str], list[str]] = {}
         self.wrong = WRONG
-        self.least = min(5.0, self.wrong - HINT + min(self.cost.values(), default=0.0))
+        # The least cost of a part of one, two and more letters that isn't known, at any confidence.
+        self.least = (0.0, 5.0, math.inf, WRONG - HINT + min(self.cost.values(), default=0.0))
         self.hinted: dict[float, Decoder] = {}
         self.seen: dict[str, tuple[str, str] | None] = {}
         self.fixed = lru_cache(maxsize=50_000)(self._fixed)
@@ -219,19 +224,23 @@ class Decoder:
 
     def _spelled(self, word: str) -> float:
         """Cost of a word by its letters, as if it were a name."""
-        padded = f"^^{word}$"
+        padded, grams, ends = f"^^{word}$", self.grams, self.ends
         total = 0.0
         for i in range(len(padded) - 2):
-            total -= math.log((self.grams.get(padded[i : i + 3], 0) + 0.02) / (self.ends.get(padded[i : i + 2], 0) + 1.0))
+            own = grams.get(padded[i : i + 3])
+            total += ends.get(padded[i : i + 2], _UNSEEN) if own is None else own
         return total
 
     def _fill(self, word: str) -> list[str]:
         """Lexicon words that fit where single letters couldn't be read."""
         if not self.holes:
             for w in self.known:
-                self.holes.setdefault((len(w), -1, ""), []).append(w)
+                for i, c in enumerate(w[:LONGEST]):
+                    self.holes.setdefault((len(w), i, c), []).append(w)
+        # The rarest of its letters by place leaves the fewest words to look at.
+        read = [self.holes.get((len(word), i, c), []) for i, c in enumerate(word[:LONGEST]) if c != "�"]
         pattern = re.compile(re.escape(word).replace("�", "."))
-        return [w for w in self.holes.get((len(word), -1, ""), ()) if pattern.fullmatch(w)]
+        return [w for w in min(read, key=len, default=[]) if pattern.fullmatch(w)]
 
     def _fixed(self, word: str) -> tuple[float, str, str]:
         """(cost, reading, how) of one lower-case token that the lexicon doesn't hold."""
@@ -258,7 +267,7 @@ class Decoder:
             for k in range(1, len(word)):
                 a, b = word[:k], word[k:]
                 # No reading of a part that isn't known is cheaper than this.
-                if self.cost.get(a, self.least) + self.cost.get(b, self.least) + self.wrong >= best[0]:
+                if self.cost.get(a, self.least[min(len(a), 3)]) + self.cost.get(b, self.least[min(len(b), 3)]) + self.wrong >= best[0]:
                     continue
                 if (len(a) == 1 and a not in "aàyeoé") or (len(b) == 1 and b not in "aày"):
                     continue
@@ -274,19 +283,23 @@ class Decoder:
     def _several(self, word: str) -> tuple[float, str, str]:
         """The cheapest reading as three known words or more that ran together."""
         n = len(word)
-        # By end and by number of parts, three standing for more: (cost, begin, parts before).
-        cost: list[list[tuple[float, int, int]]] = [[(math.inf, 0, 0)] * 4 for _ in range(n + 1)]
-        cost[0][0] = (0.0, 0, 0)
-        for k in range(2, n + 1):
-            for j in range(k - 1):
+        # By end and by number of parts, three standing for more: (cost, begin, parts before). Ends that no words reach aren't looked on from.
+        cost: dict[int, list[tuple[float, int, int]]] = {0: [(0.0, 0, 0)] + [(math.inf, 0, 0)] * 3}
+        for j in range(n - 1):
+            if j not in cost:
+                continue
+            for k in range(j + 2, n + 1):
                 own = self.cost.get(word[j:k])
                 if own is None:
                     continue
+                there = cost.setdefault(k, [(math.inf, 0, 0)] * 4)
                 for parts in range(4):
                     step = (cost[j][parts][0] + own + (2 * self.wrong if parts else 0.0), j, parts)
                     to = min(parts + 1, 3)
-                    if step[0] < cost[k][to][0]:
-                        cost[k][to] = step
+                    if step[0] < there[to][0]:
+                        there[to] = step
+        if n not in cost:
+            return (math.inf, word, "split")
         total, at, parts = cost[n][3][0], n, 3
         if total == math.inf:
             return (math.inf, word, "split")
@@ -666,6 +679,8 @@ def _continuous(decoder: Decoder, shown: list[str], mended: str | None = None) -
 
 def mend_text(decoder: Decoder, stream: str) -> tuple[str, dict[str, int]]:
     """Decode what lies between the opaque stretches of a text."""
+    if not _SIGNS.search(stream):
+        return decoder.decode(stream)
     count = {"confused": 0, "odd": 0, "split": 0, "spaced": 0, "hyphen": 0}
     out, at = [], 0
     for m in [*_OPAQUE.finditer(stream), None]:
