@@ -3,6 +3,9 @@
 The sample's neighbour graph is cut into balanced parts by size-constrained label
 propagation, and a softmax classifier learns which parts a vector's neighbours lie
 in; it then places every vector and routes every query to its most probable parts.
+A router may have children, one per part, each fitted on a sample of its part: the
+parts of the children are then the parts, so their number grows with the data while
+every fit stays bounded.
 """
 
 from __future__ import annotations
@@ -78,21 +81,55 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return label
 
 
+def _best(score: np.ndarray, top: int) -> np.ndarray:
+    """Columns of the ``top`` largest scores of each row, largest first."""
+    best = np.argpartition(-score, top - 1, axis=1)[:, :top]
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+
+
 class Router(NamedTuple):
     """A one-layer softmax classifier; one part needs no weights."""
 
     weight: np.ndarray | None
     bias: np.ndarray | None
-    parts: int
+    own: int
+    children: "tuple[Router, ...] | None" = None
+
+    @property
+    def parts(self) -> int:
+        """Number of parts, of the children where there are any."""
+        return self.own if self.children is None else sum(c.parts for c in self.children)
+
+    def _log(self, x: np.ndarray) -> np.ndarray:
+        if self.weight is None:
+            return np.zeros((len(x), 1), np.float32)
+        score = x @ self.weight + self.bias
+        score -= score.max(1, keepdims=True)
+        return score - np.log(np.exp(score).sum(1, keepdims=True))
 
     def rank(self, x: np.ndarray, top: int) -> np.ndarray:
-        """The ``top`` most probable parts of each row, best first."""
-        if self.weight is None or self.parts == 1:
-            return np.zeros((len(x), 1), np.int64)
+        """The ``top`` most probable parts of each row, best first.
+
+        With children a part's probability is that of its parent times its own; as many
+        parents are looked into as could hold the answer, and one more.
+        """
         top = min(top, self.parts)
-        score = x @ self.weight + self.bias
-        best = np.argpartition(-score, top - 1, axis=1)[:, :top]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+        score = self._log(x)
+        if self.children is None:
+            return _best(score, top)
+        parents = _best(score, min(self.own, top + 1))
+        wide = parents.shape[1]
+        start = np.cumsum([0, *(c.parts for c in self.children)])
+        part = np.full((len(x), wide * top), -1, np.int64)
+        value = np.full((len(x), wide * top), -np.inf, np.float32)
+        for j in np.unique(parents):
+            rows, slot = np.nonzero(parents == j)
+            own = self.children[j]._log(x[rows])
+            best = _best(own, min(top, own.shape[1]))
+            at = slot[:, None] * top + np.arange(best.shape[1])
+            part[rows[:, None], at] = start[j] + best
+            value[rows[:, None], at] = score[rows, j][:, None] + np.take_along_axis(own, best, 1)
+        return np.take_along_axis(part, _best(value, top), 1)
 
 
 def fit_router(x: np.ndarray, parts: int, epochs: int = 20, seed: int = 7) -> Router:

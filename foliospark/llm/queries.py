@@ -82,7 +82,7 @@ def register(to: Registry) -> None:
 
     @to.query("p3_found", S.P3_FOUND)
     def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-        return neighbors.similar_pairs(table(spark, folder, "vector_records"), 0.9, 10)
+        return neighbors.similar_pairs(table(spark, folder, "vector_records"), 0.9)
 
     @to.query("p3_nearest")
     def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:

@@ -190,7 +190,7 @@ def test_pairs_and_neighbours(spark):
     like = unit @ unit.T
     np.fill_diagonal(like, -2)
     want = {(i, j) for i, j in np.argwhere(np.triu(like, 1) >= 0.99).tolist()}
-    found = [tuple(r) for r in neighbors.similar_pairs(df, 0.99, 60).collect()]
+    found = [tuple(r) for r in neighbors.similar_pairs(df, 0.99).collect()]
     assert len(found) == len(set(found)) and set(found) <= want and len(found) >= 0.97 * len(want)
     near = neighbors.nearest(df, 5).collect()
     assert {r["vec_id"] for r in near} == set(range(0, 5000, 20))
@@ -211,13 +211,13 @@ def test_pairs_and_neighbours(spark):
     own = like[5].copy()
     own[5] = 1
     assert [v for _, v in sorted(got[2])] == sorted(allowed, key=lambda i: (-round(float(own[i]), 6), i))[:3]
-    assert neighbors.similar_pairs(df.limit(0), 0.9, 10).count() == 0
+    assert neighbors.similar_pairs(df.limit(0), 0.9).count() == 0
 
 
 def test_blocks_lose_nothing(spark, monkeypatch):
     x = vector_rows(600)
     df = spark.createDataFrame([(i, "ns", "r", 16, v.tolist(), None, 0, "") for i, v in enumerate(x)], VECTORS)
-    whole = rows_of(neighbors.similar_pairs(df, 0.9, 40))
+    whole = rows_of(neighbors.similar_pairs(df, 0.9))
     monkeypatch.setattr(neighbors, "DATA_BLOCK", 64)
     monkeypatch.setattr(neighbors, "QUERY_BLOCK", 50)
     index = neighbors.build_index(df)
@@ -227,6 +227,39 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     assert len(whole) > 10
 
 
+def test_parts_grow_and_few_are_probed(spark, monkeypatch):
+    """A second level of routers: over a hundred parts, of which a query sees some, and pairs and neighbours are found."""
+    monkeypatch.setattr(neighbors, "FIT", 1500)
+    monkeypatch.setattr(neighbors, "PART", 50)
+    monkeypatch.setattr(neighbors, "MOST_PARTS", 12)
+    x = vector_rows(7000, 12)
+    df = spark.createDataFrame([(i, "ns", "r", 12, v.tolist(), None, 0, "") for i, v in enumerate(x)], VECTORS)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = unit @ unit.T
+    np.fill_diagonal(like, -2)
+    pairs = neighbors.build_index(df, least=0.98).spaces[0]
+    index = neighbors.build_index(df, query_share=1 / 20).spaces[0]
+    assert pairs.router.children and pairs.router.parts > 100 and pairs.probes < 30 and index.probes < index.router.parts
+    want = {(i, j) for i, j in np.argwhere(np.triu(like, 1) >= 0.98).tolist()}
+    found = {tuple(r) for r in neighbors.similar_pairs(df, 0.98).collect()}
+    assert found <= want and len(found) >= 0.99 * len(want)
+    near = neighbors.nearest(df, 10).toPandas()
+    hit = sum(like[i, j] >= np.sort(like[i])[-10] - 1e-5 for i, j in zip(near["vec_id"], near["neighbor_id"]))
+    assert hit >= 0.9 * 10 * 350
+
+
+def test_router_children_are_ranked_together():
+    x = vector_rows(3000, 8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = partitions.fit_router(x, 4)
+    home = top.rank(x, 1)[:, 0]
+    both = top._replace(children=tuple(partitions.fit_router(x[home == p], 1 + p) for p in range(4)))
+    assert both.parts == 10
+    ranked = both.rank(x, 10)
+    assert (np.sort(ranked, 1) == np.arange(10)).all()
+    assert (both.rank(x, 3) == ranked[:, :3]).mean() > 0.99
+
+
 def test_balanced_parts():
     x = vector_rows(2000)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
