@@ -67,6 +67,15 @@ def register(to: Registry) -> None:
         leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
         return leaks.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("longest"))
 
+    @to.query("p8_longest")
+    def p8_longest(spark: SparkSession, folder: str) -> DataFrame:
+        return leakage.longest_verbatim(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items")).select("item_id", "n_words")
+
+    @to.query("p8_clean", S.P8_CLEAN)
+    def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+        documents = table(spark, folder, "documents", "doc_id", "text")
+        return leakage.without_leaks(documents, leakage.find_leaks(documents, table(spark, folder, "eval_items"))).select("doc_id").distinct()
+
     @to.query("p9_found")
     def p9_found(spark: SparkSession, folder: str) -> DataFrame:
         return subjects.document_subjects(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "subject_labels")).select("doc_id", "subject")

@@ -50,6 +50,8 @@ spans AS (SELECT doc_id, item_id, n, max(i) - min(i) + 4 AS span FROM runs GROUP
 SELECT DISTINCT doc_id, item_id FROM spans WHERE span >= least(20, n)
 """
 
+P8_CLEAN = f"SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8_FOUND.strip()}))"
+
 P3_FOUND = """
 WITH v AS (
   SELECT DISTINCT vec_id, space_namespace AS ns, recipe AS r, dimensions AS d, CAST(vector AS DOUBLE[]) AS x FROM vector_records

@@ -348,7 +348,8 @@ def test_packing_wastes_little(spark):
 
 
 def test_passages():
-    found = leakage.passages([(1, "Do it now. Alpha beta gamma. Delta? Which one?"), (2, "Do it now. Own words here."), (3, None), (4, "Only one?")])
+    found = leakage.passages([(1, "Do it now. Alpha beta gamma. Delta? Which one?", True), (2, "Do it now. Own words here.", True), (3, None, False), (4, "Only one?", False)])
+    assert leakage.opening("Do it, NOW. Alpha") == "do it now" and leakage.opening(None) is None
     assert found == {1: "alpha beta gamma delta".split(), 2: "own words here".split(), 4: ["only", "one"]}
 
 
@@ -404,6 +405,54 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(df.limit(0), frame).count() == 0 and leakage.find_leaks(df, frame.limit(0)).count() == 0
 
 
+def test_suffix_array_is_whole_and_in_order():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        words = r.integers(0, 5, r.integers(0, 90))
+        array = leakage.suffix_array(words)
+
+        def suffix(i, words=words):
+            end = np.flatnonzero(words[i:] == 0)
+            return words[i : i + end[0] if len(end) else None].tolist()
+
+        own = [i for i in range(len(words)) if len(suffix(i)) >= leakage.SEED]
+        assert sorted(array.tolist()) == own and [suffix(i) for i in array] == sorted(map(suffix, own))
+
+
+def test_longest_verbatim(spark):
+    r = random.Random(5)
+    items = [(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(r.choice([6, 20, 40])))) for i in range(15)]
+    docs = []
+    for d in range(40):
+        own = r.choice(items)[1].split()
+        a = r.randrange(len(own))
+        docs.append((d, " ".join([r.choice("abcdxyz") * 3 for _ in range(20)] + own[a : a + r.randint(1, 40)] + ["end"])))
+
+    def longest(p):
+        best = 0
+        for _, t in docs:
+            t = t.split()
+            for i in range(len(p)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n]:
+                        n += 1
+                    best = max(best, n)
+        return best
+
+    want = {i: n for i, p in items if (n := longest(p.split())) >= leakage.SEED}
+    got = leakage.longest_verbatim(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, prompt string")).collect()
+    assert {r["item_id"]: r["n_words"] for r in got} == want and len(want) > 8
+
+
+def test_openings_are_shared_over_blocks(spark, monkeypatch):
+    own = {i: " ".join(f"w{i}x{k}" for k in range(20)) for i in range(6)}
+    items = spark.createDataFrame([(i, f"Read the text and answer in a few words please. {t}.") for i, t in own.items()], "item_id bigint, prompt string")
+    docs = spark.createDataFrame([(1, "Read the text and answer in a few words please. Nothing else."), (2, own[3])], "doc_id bigint, text string")
+    monkeypatch.setattr(leakage, "ITEMS", 1)
+    assert rows_of(leakage.find_leaks(docs, items).select("doc_id", "item_id")) == [(2, 3)]
+
+
 def test_item_blocks_and_shards(spark, monkeypatch):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(d, f"x {passage} y") for d in range(5)], "doc_id bigint, text string")
