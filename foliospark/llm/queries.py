@@ -16,6 +16,11 @@ def _observations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "ocr_observations", "observation_id", "book_id", "raw").dropDuplicates(["observation_id"])
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """The vocabulary file, which every node must hold: the setting ``foliospark.tokenizer`` of the session, else the usual place."""
+    return spark.conf.get("foliospark.tokenizer", packing.TOKENIZER)
+
+
 def register(to: Registry) -> None:
     """Add the pN_ queries."""
 
@@ -40,22 +45,22 @@ def register(to: Registry) -> None:
     @to.query("p5_found")
     def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         out = splitting.pieces(table(spark, folder, "parsed_pages"), table(spark, folder, "embedding_plans"), texts=False)
-        return out.filter("section_over").select("page_id", F.col("section_line").cast("bigint").alias("section_line")).distinct()
+        return out.select("page_id", F.inline("sections")).filter("section_over").select("page_id", "section_line").distinct()
 
     @to.query("p5_pieces")
     def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-        out = splitting.pieces(table(spark, folder, "parsed_pages"), table(spark, folder, "embedding_plans"))
-        return out.groupBy("page_id", "piece_no").agg(F.first("piece").alias("piece"), F.first("overlap_used").alias("overlap_used"), F.first("cut").alias("cut"), F.first("char_start").alias("char_start"), F.first("char_end").alias("char_end"))
+        pages = table(spark, folder, "parsed_pages").dropDuplicates(["page_id"])
+        return splitting.pieces(pages, table(spark, folder, "embedding_plans")).select("page_id", "piece_no", "piece", "overlap_used", "cut", "char_start", "char_end")
 
     @to.query("p7_found")
     def p7_found(spark: SparkSession, folder: str) -> DataFrame:
         packs = packing.packs_of(table(spark, folder, "pack_specs").filter("pack_id = 1"))
-        out = packing.pack_texts(table(spark, folder, "documents", "doc_id", "text"), packs)
+        out = packing.pack_texts(table(spark, folder, "documents", "doc_id", "text"), packs, _tokenizer(spark))
         return out.filter("n_parts > 1").select("doc_id").distinct()
 
     @to.query("p7_packed")
     def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
-        return packing.pack_texts(table(spark, folder, "documents", "doc_id", "text"), packing.packs_of(table(spark, folder, "pack_specs")))
+        return packing.pack_texts(table(spark, folder, "documents", "doc_id", "text"), packing.packs_of(table(spark, folder, "pack_specs")), _tokenizer(spark))
 
     @to.query("p8_found", S.P8_FOUND)
     def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,6 +79,12 @@ def _lines(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
     return rows.withColumn("_norm", line).withColumn("_hash", F.xxhash64("_norm"))
 
 
+def _frequency(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
+    """(_host, _hash, _norm, n_docs): lines of equal hash are told apart by their text."""
+    once = _lines(df, key, host, text).filter("_norm != ''").select("_host", "_hash", "_norm", "_key").distinct()
+    return once.groupBy("_host", "_hash", "_norm").agg(F.count("*").alias("n_docs"))
+
+
 def line_frequency(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
     """(host, line_hash, n_docs): distinct documents of the host that hold the normalised line.
 
@@ -87,8 +93,7 @@ def line_frequency(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
     aggregation before the shuffle, so one hot host spreads over its lines. A null
     text has no lines; a null host is a host of its own.
     """
-    once = _lines(df, key, host, text).filter("_norm != ''").select("_host", "_hash", "_key").distinct()
-    return once.groupBy(F.col("_host").alias(host), F.col("_hash").alias("line_hash")).agg(F.count("*").alias("n_docs"))
+    return _frequency(df, key, host, text).select(F.col("_host").alias(host), F.col("_hash").alias("line_hash"), "n_docs")
 
 
 def without_frequent_lines(df: DataFrame, key: str, host: str, text: str, limit: int = 10, keep_at_least: float = 0.5) -> DataFrame:
@@ -96,11 +101,11 @@ def without_frequent_lines(df: DataFrame, key: str, host: str, text: str, limit:
 
     A document is rejected if less than ``keep_at_least`` of its non-empty lines
     stay; one without any line is kept. Repeated rows of a key must be dropped
-    before. The lines above the limit are joined by hash, not broadcast.
+    before. The lines above the limit are joined by hash and text, not broadcast.
     """
-    many = line_frequency(df, key, host, text).filter(F.col("n_docs") > limit).select(F.col(host).alias("_h"), "line_hash")
+    many = _frequency(df, key, host, text).filter(F.col("n_docs") > limit).select(F.col("_host").alias("_h"), F.col("_hash").alias("line_hash"), F.col("_norm").alias("_m"))
     rows = _lines(df, key, host, text)
-    joined = rows.join(many, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_hash") == F.col("line_hash")), "left")
+    joined = rows.join(many, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_hash") == F.col("line_hash")) & (F.col("_norm") == F.col("_m")), "left")
     drop = F.col("line_hash").isNotNull() & (F.col("_norm") != "")
     out = joined.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.when(~drop, F.struct("_pos", "_line")))).alias("kept"),

@@ -3,14 +3,16 @@
 Lexical cohesion decides among the natural places of a size window: for every
 boundary between units (headings, blocks, lines, sentences) the words of the block
 before and the block after are compared by cosine, and the depth of the valley of
-this similarity, with a bonus for stronger kinds of boundary, picks the cut. Each
-piece begins with up to ``overlap`` characters of the one before.
+this similarity picks the cut, with a bonus for stronger kinds of boundary that is
+small beside a clear valley. Each piece begins with up to ``overlap`` characters of
+the one before.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -22,15 +24,16 @@ from foliospark.functions.pages import scan_page, sections
 #: Units on each side of a boundary whose words are compared.
 BLOCK = 6
 #: Width of the hashed word vectors.
-WIDTH = 128
+WIDTH = 256
 #: The least share of the limit a piece should fill, where a natural place allows it.
 FILL = 0.5
-#: Added to the valley depth, which lies between 0 and 2.
-BONUS = {"heading": 3.0, "block": 1.0, "line": 0.4, "sentence": 0.2}
+#: Added to the valley depth, which lies between 0 and 2: a heading decides between valleys of like depth, not against a clearly deeper one.
+BONUS = {"heading": 0.5, "block": 0.25, "line": 0.1, "sentence": 0.0}
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=\S)")
 
-PIECES = "page_id bigint, piece_no int, section_line int, section_chars int, section_over boolean, start_line int, char_start bigint, char_end bigint, overlap_used int, cut string, piece string"
+#: One row per piece; ``sections`` are those that begin or go on in it.
+PIECES = "page_id bigint, piece_no int, start_line int, char_start bigint, char_end bigint, overlap_used int, cut string, sections array<struct<section_line: bigint, section_chars: bigint, section_over: boolean>>, piece string"
 
 
 def units_of(text: str, starts: set[int], code: list[tuple[int, int]], body: int) -> list[tuple[int, str]]:
@@ -46,7 +49,7 @@ def units_of(text: str, starts: set[int], code: list[tuple[int, int]], body: int
                 out.append((offset, "heading"))
             elif line.strip():
                 out.append((offset, "line" if no in inside or not blank else "block"))
-            if line.strip() and no not in inside and len(line) > 80:
+            if line.strip() and no not in inside:
                 out.extend((offset + m.end(), "sentence") for m in _SENTENCE.finditer(line) if m.end() < len(line))
             blank = not line.strip() and no not in inside
         offset += len(line) + 1
@@ -61,7 +64,7 @@ def valley_depths(texts: list[str]) -> np.ndarray:
     counts = np.zeros((n, WIDTH), np.float32)
     seen: dict[str, int] = {}
     for i, t in enumerate(texts):
-        row = [seen.setdefault(w, sum(w.encode()) * 31 % WIDTH) for w in _WORD.findall(t.lower())]
+        row = [seen.setdefault(w, crc32(w.encode()) % WIDTH) for w in _WORD.findall(t.lower())]
         if row:
             counts[i] = np.bincount(row, minlength=WIDTH)
     total = np.vstack([np.zeros((1, WIDTH), np.float32), np.cumsum(counts, 0)])
@@ -128,7 +131,7 @@ def split_page(text: str, headings: list[int] | None, body: int | None, limit: i
     if body is not None and 0 < body <= len(page.lines):
         page = page._replace(body=int(body))
     limit = max(1, limit)
-    overlap = min(max(0, overlap), limit // 2)
+    overlap = min(max(0, overlap), limit - 1)
     parts = sections(page, headings)
     line_at = [0]
     for line in page.lines:
@@ -141,23 +144,23 @@ def split_page(text: str, headings: list[int] | None, body: int | None, limit: i
     rows, starts = [], np.array([line_at[a - 1] for a, _ in parts])
     lines = np.array(line_at)
     for no, (a, b, kind) in enumerate(cut_points(text, units, begin, limit, overlap)):
-        back = overlap_start(text, begin, a, overlap) if no and b - a + overlap <= limit else a
+        back = overlap_start(text, begin, a, overlap) if no else a
         k = int(np.searchsorted(starts, a, "right")) - 1
-        # One row per section that begins or continues in the piece carries the section's facts.
         first, last = max(k, 0), max(int(np.searchsorted(starts, b - 1, "right")) - 1, 0)
-        over = [s for s in range(first, last + 1) if sizes[s] > limit]
-        rows.append((no, parts[first][0], sizes[first], over, int(np.searchsorted(lines, a, "right")), a, b, a - back, kind, text[back:b], parts, sizes))
+        touched = [(parts[s][0], sizes[s], sizes[s] > limit) for s in range(first, last + 1)]
+        rows.append((no, int(np.searchsorted(lines, a, "right")), a, b, a - back, kind, touched, text[back:b]))
     return rows
 
 
 def pieces(pages: DataFrame, plans: DataFrame, texts: bool = True) -> DataFrame:
-    """One row per (piece, oversized section or first section it touches).
+    """One row per piece of a page: :data:`PIECES`.
 
     ``pages``: page_id, text, headings.line and body_start_line where known (null:
     found in the text); ``plans``: page_id, body_limit, overlap_chars. A page without
     plan, text or limit gives no rows; an empty body gives no pieces; a null overlap
-    is 0, and an overlap counts at most half of the limit. Repeated rows of a page or
-    plan count once. The piece with its overlap never exceeds the limit.
+    is 0, and one that leaves no room for new text counts as the limit less one. Plans that
+    repeat a page count once; a repeated page gives its pieces again, so that texts needn't
+    be shuffled. The piece with its overlap never exceeds the limit.
     """
     page = pages.filter("page_id is not null and text is not null").select("page_id", "text", F.expr("transform(headings, x -> x.line)").alias("_lines"), "body_start_line")
     plan = plans.filter("page_id is not null and body_limit > 0").groupBy("page_id").agg(F.min(F.struct("body_limit", F.coalesce("overlap_chars", F.lit(0)).alias("overlap"))).alias("p")).select("page_id", "p.*")
@@ -165,14 +168,10 @@ def pieces(pages: DataFrame, plans: DataFrame, texts: bool = True) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for page_id, text, lines, body, limit, overlap in zip(batch["page_id"], batch["text"], batch["_lines"], batch["body_start_line"], batch["body_limit"], batch["overlap"]):
                 found = split_page(text, None if lines is None else list(lines), None if pd.isna(body) else int(body), int(limit), int(overlap))
-                for no, line, size, over, start_line, a, b, used, kind, piece, parts, sizes in found:
-                    piece = piece if texts else None
-                    if not over:
-                        out.append((page_id, no, line, size, False, start_line, a, b, used, kind, piece))
-                    out.extend((page_id, no, parts[s][0], sizes[s], True, start_line, a, b, used, kind, piece) for s in over)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+                out.extend((page_id, *row[:-1], row[-1] if texts else None) for row in found)
+            yield pd.DataFrame(out, columns=["page_id", "piece_no", "start_line", "char_start", "char_end", "overlap_used", "cut", "sections", "piece"])
 
     return rows.mapInPandas(cut, PIECES)

@@ -31,8 +31,8 @@ SHARE = 0.2
 MIN_COUNT, CONFIDENCE, WORDS = 5, 0.3, 2
 #: Least chi-square (one degree) over documents of a word and a label, and least documents: words below bear no subject.
 CHI_SQUARE, MIN_DOCUMENTS = 20.0, 3
-#: Rules that may be sent to the tasks.
-MOST_RULES = 200_000
+#: Subjects that may be told apart; rules that may be sent to the tasks.
+MOST_SUBJECTS, MOST_RULES = 10_000, 200_000
 #: Evidence (natural log) by which the best subject of a sentence must lead; below, the document's other sentences decide.
 LEAD = 1.0
 
@@ -62,7 +62,8 @@ def _fit_sentences(documents: DataFrame, labels: DataFrame) -> DataFrame:
     raters = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.count_distinct(F.coalesce("rater", F.lit(""))).alias("raters"))
     kept = votes.join(raters, "doc_id").filter(F.col("n") * 2 >= F.col("raters")).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     sample = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-    rows = documents.select("doc_id", "text").filter("text is not null").join(sample, "doc_id")
+    # At most FIT_DOCUMENTS short rows.
+    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
     # The same text under several ids counts once.
     rows = rows.groupBy(F.xxhash64("text").alias("_h"), F.length("text").alias("_n")).agg(F.min_by(F.struct("doc_id", "text", "subjects"), "doc_id").alias("r")).select("r.*")
 
@@ -95,18 +96,30 @@ def mine_rules(documents: DataFrame, labels: DataFrame) -> pd.DataFrame:
     by_doc = sentences.select("doc_id", F.explode("words").alias("word"), "subjects").distinct()
     docs = sentences.groupBy("doc_id").agg(F.first("subjects").alias("subjects"))
     n_docs = docs.count()
-    per = docs.select(F.explode("subjects").alias("subject")).groupBy("subject").count().limit(10_000)
+    per = docs.select(F.explode("subjects").alias("subject")).groupBy("subject").count().limit(MOST_SUBJECTS + 1)
     prior = {r[0]: r[1] / n_docs for r in per.collect()}
-    both = by_doc.withColumn("subject", F.explode("subjects")).groupBy("word", "subject").agg(F.count("*").alias("n"))
-    single = by_doc.groupBy("word").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_DOCUMENTS)
+    if len(prior) > MOST_SUBJECTS:
+        raise ValueError("more subjects than rules are mined for")
+    # Documents of a word, with each subject and (under no subject) in all.
+    counts = cut_lineage(by_doc.select("word", F.explode(F.concat("subjects", F.array(F.lit(None).cast("string")))).alias("subject")).groupBy("word", "subject").agg(F.count("*").alias("n")))
+    single = counts.filter("subject is null").select("word", F.col("n").alias("m")).filter(F.col("m") >= MIN_DOCUMENTS)
     rate = F.element_at(F.create_map(*[x for k, v in prior.items() for x in (F.lit(k), F.lit(v))]), F.col("subject"))
     expected = F.col("m") * rate
     chi = (F.col("n") - expected) ** 2 / (expected * (1 - rate) + 1e-9)
-    bearing = both.join(single, "word").filter((F.col("n") >= CONFIDENCE * F.col("m")) & (F.col("n") > expected) & (chi >= CHI_SQUARE)).select("word").distinct()
-    # As many words as there are; joined, not sent.
-    kept = sentences.select("doc_id", "sentence_no", F.explode("words").alias("word"), "subjects").join(bearing, "word")
-    moves = kept.groupBy("doc_id", "sentence_no").agg(F.collect_set("word").alias("words"), F.first("subjects").alias("subjects"))
-    items = moves.select(F.concat("words", F.transform("subjects", lambda s: F.concat(F.lit(_LABEL), s))).alias("items"))
+    bearing = counts.filter("subject is not null").join(single, "word").filter((F.col("n") >= CONFIDENCE * F.col("m")) & (F.col("n") > expected) & (chi >= CHI_SQUARE)).select("word").distinct()
+    # Words of at most FIT_DOCUMENTS * FIT_SENTENCES sentences, each in MIN_DOCUMENTS of them.
+    chosen = sentences.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in bearing.collect()))
+
+    def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for words, subjects in zip(batch["words"], batch["subjects"]):
+                own = [w for w in words if w in chosen.value]
+                if own:
+                    out.append(own + [_LABEL + s for s in subjects])
+            yield pd.DataFrame({"items": pd.Series(out, dtype=object)})
+
+    items = sentences.select("words", "subjects").mapInPandas(moves, "items array<string>")
     items = cut_lineage(items)
     n = items.count()
     if not n:

@@ -283,12 +283,12 @@ def test_split_pages():
         text = "\n".join(lines)
         limit, overlap = r.randint(20, 300), r.choice([0, 10, 60, 500])
         out = splitting.split_page(text, None, None, limit, overlap)
-        assert all(len(o[9]) <= limit for o in out)
-        assert "".join(text[o[5] : o[6]] for o in out) == text
-        assert all(o[7] <= overlap and o[9] == text[o[5] - o[7] : o[6]] for o in out)
+        assert all(len(o[7]) <= limit for o in out)
+        assert "".join(text[o[2] : o[3]] for o in out) == text
+        assert all(o[4] <= overlap and o[7] == text[o[2] - o[4] : o[3]] for o in out)
         page = scan_page(text)
         over = {a for a, b in sections(page) if len("\n".join(page.lines[a - 1 : b]).rstrip()) > limit}
-        assert {o[10][s][0] for o in out for s in o[3]} == over
+        assert {line for o in out for line, _, big in o[6] if big} == over
 
 
 def test_cuts_prefer_topic_valleys():
@@ -300,11 +300,30 @@ def test_cuts_prefer_topic_valleys():
     assert abs(cuts[0][1] - len(one)) <= 1
 
 
+def test_a_deep_valley_beats_a_heading():
+    """A heading inside one topic is passed over for the change of topic beside it; of like places the heading is taken."""
+    cats = [f"The cat sat near cat number {i} and a dog." for i in range(16)]
+    bonds = [f"Stock prices rose while bond yields fell {i} points." for i in range(8)]
+    text = "\n".join(cats[:12] + ["# The cat and a dog"] + cats[12:] + bonds)
+    page = scan_page(text)
+    units = splitting.units_of(text, {a for a, _ in sections(page)}, [], 1)
+    assert text[splitting.cut_points(text, units, 0, int(len(text) * 0.8), 0)[0][1] :].startswith("Stock")
+    alike = "\n".join(cats[:12] + ["# The cat and a dog"] + cats[12:])
+    units = splitting.units_of(alike, {a for a, _ in sections(scan_page(alike))}, [], 1)
+    assert alike[splitting.cut_points(alike, units, 0, int(len(alike) * 0.85), 0)[0][1] :].startswith("# The")
+
+
+def test_overlap_as_planned():
+    text = "word " * 200
+    out = splitting.split_page(text, None, None, 50, 40)
+    assert all(len(o[7]) <= 50 for o in out) and min(o[4] for o in out[1:]) >= 35
+
+
 def test_pieces_edges(spark):
     pages = spark.createDataFrame([(1, "", None, None, 1), (2, None, None, None, 1), (3, "# a\n" + "word " * 50, None, None, 1), (3, "# a\n" + "word " * 50, None, None, 1), (4, "no plan", None, None, 1)], "page_id bigint, text string, headings array<struct<level:int,text:string,line:int>>, body_start_line int, overlap int")
     plans = spark.createDataFrame([(1, 10, 2), (2, 10, 2), (3, 60, None), (3, 60, None), (None, 5, 1)], "page_id bigint, body_limit int, overlap_chars int")
     got = splitting.pieces(pages, plans).collect()
-    assert {r["page_id"] for r in got} == {3} and all(r["section_over"] and r["section_line"] == 1 and len(r["piece"]) <= 60 for r in got)
+    assert {r["page_id"] for r in got} == {3} and all([tuple(s) for s in r["sections"]] == [(1, 253, True)] and len(r["piece"]) <= 60 for r in got)
 
 
 # --- packing
