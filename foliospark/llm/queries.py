@@ -52,7 +52,7 @@ def register(to: Registry) -> None:
         pages = table(spark, folder, "parsed_pages").dropDuplicates(["page_id"])
         return splitting.pieces(pages, table(spark, folder, "embedding_plans")).select("page_id", "piece_no", "piece", "overlap_used", "cut", "char_start", "char_end")
 
-    @to.query("p7_found")
+    @to.query("p7_found", S.P7_FOUND)
     def p7_found(spark: SparkSession, folder: str) -> DataFrame:
         packs = packing.packs_of(table(spark, folder, "pack_specs").filter("pack_id = 1"))
         out = packing.pack_texts(table(spark, folder, "documents", "doc_id", "text"), packs, _tokenizer(spark))

@@ -79,3 +79,9 @@ f AS (
   SELECT block_id, 'latex' FROM b WHERE regexp_matches(t, '(?m)(^|[^\\\w:])\\([A-Za-z]+|\(|\[)|\$\$|(^|[^\\$\w])\$[^\s$]([^$\n]*[^\s\\$])?\$($|[^\d$])'))
 SELECT block_id, family FROM f
 """
+
+#: A pre-token (word, number or sign) is one token at least, and no document is near the limit.
+P7_FOUND = r"""
+SELECT DISTINCT doc_id FROM documents, (SELECT capacity_tokens AS c FROM pack_specs WHERE pack_id = 1)
+WHERE len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) > c
+"""
