@@ -100,13 +100,13 @@ class ChunkConfig:
         """Characters a chunk should not exceed."""
         return min(4 * self.tokens, self.most)
 
-    def room(self, prefix: str) -> tuple[int, int]:
-        """(characters for the body, for the overlap) beside a prefix; the body keeps at least its aim or three quarters of all."""
+    def room(self, trail: list[str]) -> tuple[str, int, int]:
+        """(prefix, characters for the body, for the overlap) under a breadcrumb; the body keeps at least its aim or three quarters of all, and the prefix is cut to what that leaves."""
         spare = self.most - max(1, min(self.aim, self.most * 3 // 4))
-        cost = min(len(prefix), max(0, spare - 2))
-        cost = cost + 2 if cost else 0
+        prefix = " > ".join(trail)[: max(0, spare - 2)]
+        cost = len(prefix) + 2 if prefix else 0
         overlap = min(self.aim * self.overlap // 100, max(0, spare - cost - 2))
-        return max(1, min(self.aim, self.most - cost - (overlap + 2 if overlap else 0))), overlap
+        return prefix, max(1, min(self.aim, self.most - cost - (overlap + 2 if overlap else 0))), overlap
 
 
 def _blocks(page: Page, config: ChunkConfig) -> Iterator[tuple[int, int, list[str], str]]:
@@ -170,7 +170,7 @@ def chunk_page(text: str, config: ChunkConfig, context: tuple[str, ...] = ()) ->
     """
     merged: list[list] = []
     for a, b, trail, body in _blocks(scan_page(text), config):
-        limit, _ = config.room(" > ".join([*context, *trail]))
+        _, limit, _ = config.room([*context, *trail])
         if len(body) > limit:
             for at, part in _cut(body, limit):
                 first = a + body.count("\n", 0, at)
@@ -181,8 +181,7 @@ def chunk_page(text: str, config: ChunkConfig, context: tuple[str, ...] = ()) ->
             merged.append([a, b, trail, body, True])
     out, before = [], ""
     for a, b, trail, body, _ in merged:
-        prefix = " > ".join([*context, *trail])
-        _, overlap = config.room(prefix)
+        prefix, _, overlap = config.room([*context, *trail])
         spare = config.most - len(body)
         parts = []
         if prefix and spare > 2:

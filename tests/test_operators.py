@@ -160,6 +160,9 @@ def test_chunks():
     assert "hidden" not in "".join(c[3] for c in out) and out[2][4].startswith("H1 > H3\n\n")
     assert "".join(c[3] for c in out if c[2] == ["H1", "H3"]) == ("word " * 500)
     assert chunks.chunk_page("", config) == []
+    # A long breadcrumb is cut to what the body leaves, so the overlap keeps its room.
+    long = chunks.chunk_page("# " + "h" * 500 + "\n\n" + "word " * 100, chunks.ChunkConfig(tokens=50, most=200))
+    assert {c[4].split("\n\n")[0] for c in long} == {"h" * 48} and all(len(c[4]) <= 200 for c in long)
 
 
 def test_frontmatter():
@@ -193,10 +196,18 @@ def test_views(spark):
 
 
 def test_quality(spark):
-    assert quality.runaway_span("x " + "go " * 12) == (1, 13, 1)
+    assert quality.runaway_span("x " + "go " * 12) == (5, 37)
+    assert quality.runaway_span("x " + "go " * 11) is None
+    # Phrases of twelve words need five times, of thirteen three.
+    twelve, more = " ".join(f"w{i}" for i in range(12)) + " ", " ".join(f"w{i}" for i in range(13)) + " "
+    assert quality.runaway_span(twelve * 4) is None and quality.runaway_span(twelve * 5) and quality.runaway_span(more * 3) and quality.runaway_span(more * 2) is None
+    # Rows, tables, images and formulas aren't looked at.
+    assert quality.runaway_span("| a | b |\n" * 30) is None and quality.runaway_span("<table>" + "<tr> x </tr> " * 30 + "</table>") is None and quality.runaway_span("![a b](c) " * 30) is None
+    # Far into a long text.
+    assert quality.runaway_span(" ".join(str(i) for i in range(5000)) + " so it goes" * 9 + " end") is not None
     assert quality.runaway_span("a b c d e f g") is None
     df = spark.createDataFrame([("a b c " * 9 + "end",), ("plain",), (None,), ("",)], "t string")
-    assert [r[0] for r in df.select(quality.truncated_runaway("t")).collect()] == ["a b c end", "plain", None, ""]
+    assert [r[0] for r in df.select(quality.truncated_runaway("t")).collect()] == ["a b c  end", "plain", None, ""]
     assert [r[0] for r in df.select(quality.triple_phrase("t")).collect()] == [True, False, None, False]
     ok = spark.createDataFrame([(r"\begin{a}{x}\end{a}",), (r"\begin{a}\end{b}",), ("}{",), (r"\{",)], "t string")
     assert [r[0] for r in ok.select(quality.balanced_math("t")).collect()] == [True, False, False, True]
