@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.plans import assembly, captures, jobs, pages, qualities, retrieval, store, timelines
+from foliospark.plans import assembly, captures, declared, jobs, pages, qualities, retrieval, smaller, store, timelines
 from foliospark.plans.registry import Registry
 
-MODULES = (captures, retrieval, timelines, store, qualities, pages, jobs, assembly)
+MODULES = (captures, retrieval, timelines, store, qualities, pages, jobs, assembly, declared, smaller)
 
 
 def catalog() -> Registry:
