@@ -71,17 +71,6 @@ def register(to: Registry) -> None:
         many = rows.groupBy("book_id", "page_no").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
         return D.consensus(rows.join(many, ["book_id", "page_no"]), ["book_id", "page_no"], "observation_id", "raw", primary=F.col("obs_mode") == "grounded")
 
-    @to.query(
-        "chapter_starts",
-        "WITH h AS (SELECT book_id, page_no AS page, min(markdown) AS title FROM blocks WHERE kind = 'title' GROUP BY 1, 2), c AS (SELECT book_id, page_no AS page, min(markdown) AS title FROM blocks WHERE kind = 'header' AND book_id % 2 = 0 GROUP BY 1, 2), "
-        "u AS (SELECT *, 'headings' AS source, 0.8 AS confidence FROM h UNION ALL SELECT *, 'contents', 0.85 FROM c), b AS (SELECT book_id, max(confidence) AS confidence FROM u GROUP BY 1) SELECT book_id, page, title, source, CAST(confidence AS DOUBLE) AS confidence, lead(page) OVER (PARTITION BY book_id ORDER BY page) - 1 AS last_page FROM u JOIN b USING (book_id, confidence)",
-    )
-    def chapter_starts(spark: SparkSession, folder: str) -> DataFrame:
-        rows = table(spark, folder, "blocks", "book_id", "page_no", "kind", "markdown")
-        pick = lambda d: d.groupBy("book_id", F.col("page_no").alias("page")).agg(F.min("markdown").alias("title"))
-        heads, contents = pick(rows.filter("kind = 'title'")), pick(rows.filter("kind = 'header' and book_id % 2 = 0"))
-        return D.chapter_starts(heads.limit(0), contents, heads, "book_id")
-
     @to.query(
         "all_chapter_starts",
         "WITH h AS (SELECT book_id, page_no AS page, min(markdown) AS title FROM blocks WHERE kind = 'title' GROUP BY 1, 2), c AS (SELECT book_id, page_no AS page, min(markdown) AS title FROM blocks WHERE kind = 'header' GROUP BY 1, 2), "
@@ -94,6 +83,18 @@ def register(to: Registry) -> None:
         outline = spark.createDataFrame([], pick("title").schema)
         return D.chapter_starts(outline, pick("header"), pick("title"), "book_id")
 
+    @to.query(
+        "outlined_chapters",
+        "WITH p AS (SELECT DISTINCT book_id, page_no AS page FROM blocks), o AS (SELECT book_id, page, 'part ' || page AS title FROM p WHERE book_id % 2 = 0 AND page % 5 = 1), h AS (SELECT book_id, page_no AS page, min(markdown) AS title FROM blocks WHERE kind = 'title' GROUP BY 1, 2), "
+        "u AS (SELECT *, 'headings' AS source, 0.8 AS confidence FROM h UNION ALL SELECT *, 'outline', 1.0 FROM o), b AS (SELECT book_id, max(confidence) AS confidence FROM u GROUP BY 1) SELECT book_id, page, title, source, CAST(confidence AS DOUBLE) AS confidence, lead(page) OVER (PARTITION BY book_id ORDER BY page) - 1 AS last_page FROM u JOIN b USING (book_id, confidence)",
+    )
+    def outlined_chapters(spark: SparkSession, folder: str) -> DataFrame:
+        # Every second book is given an outline that names each fifth page.
+        rows = table(spark, folder, "blocks", "book_id", "page_no", "kind", "markdown")
+        heads = rows.filter("kind = 'title'").groupBy("book_id", F.col("page_no").alias("page")).agg(F.min("markdown").alias("title"))
+        outline = rows.filter("book_id % 2 = 0 and page_no % 5 = 1").select("book_id", F.col("page_no").alias("page")).distinct().withColumn("title", F.concat(F.lit("part "), "page"))
+        return D.chapter_starts(outline, heads.limit(0), heads, "book_id")
+
     @to.query(
         "quietest_cuts",
         "WITH s AS (SELECT user_id, event_id AS ev, value, row_number() OVER w AS i, avg(value * value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, arg_min(ev, {'e': round(e, 9), 'd': abs(ev - 5000), 'a': ev}) AS cut FROM s WHERE i >= 5 GROUP BY 1",

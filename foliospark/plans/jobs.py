@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import clock, natural_key, short_id
@@ -21,10 +22,11 @@ def queue_events(events: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
     kind = F.try_element_at(kinds, F.col("event_type"))
     job = F.concat(F.lit("job-"), (F.col("event_id") % 3).cast("string"))
-    return events.select(
-        F.col("user_id").cast("string").alias("recipe"), F.floor(micros("ts") / 1_000_000).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind != "claim", job).alias("job"),
-        F.lit(None).cast("string").alias("attempt"), F.col("props").alias("body"), F.lit(True).alias("document"), F.lit(2).alias("capacity"),
-    )
+    rows = events.select(F.col("user_id").cast("string").alias("recipe"), F.floor(micros("ts") / 1_000_000).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind != "claim", job).alias("job"), F.col("props").alias("body"))
+    # Calls name the attempt of the last claim before them, but every fifth, which names an older one.
+    last = F.last(F.when(F.col("kind") == "claim", F.col("seq")), ignorenulls=True).over(W.partitionBy("recipe").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, 0))
+    token = F.when((F.col("kind") != "submit") & F.col("job").isNotNull(), F.concat(F.when(F.col("seq") % 5 == 0, F.lit("0")).otherwise(last.cast("string")), F.lit("-"), "job"))
+    return rows.select("recipe", "at", "seq", "kind", "job", token.alias("attempt"), "body", F.lit(True).alias("document"), F.lit(2).alias("capacity"))
 
 
 def register(to: Registry) -> None:
@@ -52,11 +54,6 @@ def register(to: Registry) -> None:
         now = rows.agg(F.max("t")).scalar()
         return last.select("user_id", "last_seen_us", (now - F.col("last_seen_us") < 3_600_000_000).alias("alive"))
 
-    @to.query("natural_order", "SELECT path, row_number() OVER (ORDER BY regexp_replace(path, '[0-9]+\\.md$', ''), CAST(regexp_extract(path, '([0-9]+)\\.md$', 1) AS BIGINT), path) AS position FROM documents WHERE path LIKE 'tasks/a%'")
-    def natural_order(spark: SparkSession, folder: str) -> DataFrame:
-        rows = table(spark, folder, "documents", "path").filter("path like 'tasks/a%'")
-        return V.numbered(rows, [natural_key("path"), F.col("path")], "position")
-
     @to.query(
         "document_order",
         "SELECT path, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 12, '0') ELSE x END), '') NULLS LAST, path NULLS LAST) AS position FROM documents",

@@ -129,19 +129,14 @@ def register(to: Registry) -> None:
         pages = table(spark, folder, "blocks", "book_id", "page_no", "kind").groupBy("book_id", "page_no").agg(F.max((F.col("kind") == "title").cast("int")).alias("st"))
         return G.page_groups(pages, "book_id", "page_no", F.col("st") == 1)
 
+    # An order has one customer, so a component is a customer with its orders.
     @to.query(
-        "trade_components",
-        "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 1000 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 40 < c_nationkey + 5 AND c_custkey % 40 >= c_nationkey), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM s), w(node, r) AS (SELECT node, node FROM n UNION SELECT s.b, w.r FROM w JOIN s ON s.a = w.node) SELECT node, min(r) AS component FROM w GROUP BY 1",
+        "order_components",
+        "WITH m AS (SELECT o_custkey AS c, least(min(-1 - o_orderkey), min(o_custkey)) AS m FROM orders GROUP BY 1) SELECT -1 - o_orderkey AS node, m AS component FROM orders JOIN m ON c = o_custkey UNION SELECT c_custkey, coalesce(m, c_custkey) FROM customer LEFT JOIN m ON c = c_custkey UNION SELECT c, m FROM m",
     )
-    def trade_components(spark: SparkSession, folder: str) -> DataFrame:
-        e = table(spark, folder, "customer", "c_nationkey", "c_custkey").filter("c_custkey % 40 < c_nationkey + 5 and c_custkey % 40 >= c_nationkey").select(F.col("c_nationkey").cast("bigint").alias("a"), (1000 + F.col("c_custkey") % 40).alias("b")).distinct()
-        nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
-        return G.components(e, nodes)
-
-    @to.query("order_components")
     def order_components(spark: SparkSession, folder: str) -> DataFrame:
         # Customers and their orders, which have the negative numbers.
-        e = table(spark, folder, "orders", "o_custkey", "o_orderkey").select(F.col("o_custkey").cast("bigint").alias("a"), (-F.col("o_orderkey")).cast("bigint").alias("b")).distinct()
+        e = table(spark, folder, "orders", "o_custkey", "o_orderkey").select(F.col("o_custkey").cast("bigint").alias("a"), (-1 - F.col("o_orderkey")).cast("bigint").alias("b")).distinct()
         customers = table(spark, folder, "customer", "c_custkey").select(F.col("c_custkey").cast("bigint").alias("node"))
         return G.components(e, customers.unionByName(e.select(F.col("a").alias("node"))).unionByName(e.select(F.col("b").alias("node"))))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
@@ -16,6 +17,7 @@ from foliospark.operators import validate as V
 from foliospark.operators import views as X
 from foliospark.plans.registry import Registry
 from foliospark.sources import corpus
+from foliospark.sources.drive import walk, whole_listings
 from foliospark.sources.tables import micros, table
 
 _B = "b AS (SELECT DISTINCT block_id, observation_id, book_id, page_no, ordinal, kind, markdown, bbox, confidence FROM blocks)"
@@ -140,6 +142,38 @@ def _rows(to: Registry) -> None:
         return E.edit_pages(pages, edits).select("path", "text", "outcome")
 
 
+def _listings(to: Registry) -> None:
+    @to.query(
+        "walked_folders",
+        "SELECT 'r' || r_regionkey AS id, 1 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 2 FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'c' || c_custkey, 3 FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'root', 0",
+    )
+    def walked_folders(spark: SparkSession, folder: str) -> DataFrame:
+        # Customers are reached by shortcuts, and every nation has one back to the root.
+        none = F.lit(None).cast("string")
+        regions = table(spark, folder, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("root").alias("parent"), F.lit("folder").alias("kind"), none.alias("target"))
+        nations = table(spark, folder, "nation")
+        nation = F.concat(F.lit("n"), "n_nationkey")
+        folders = nations.select(nation.alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit("folder").alias("kind"), none.alias("target"))
+        back = nations.select(F.concat(F.lit("b"), "n_nationkey").alias("id"), nation.alias("parent"), F.lit("shortcut").alias("kind"), F.lit("root").alias("target"))
+        customers = table(spark, folder, "customer", "c_custkey", "c_nationkey")
+        name = F.concat(F.lit("c"), "c_custkey")
+        files = customers.select(name.alias("id"), F.lit("elsewhere").alias("parent"), F.lit("file").alias("kind"), none.alias("target"))
+        links = customers.select(F.concat(F.lit("s"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.lit("shortcut").alias("kind"), name.alias("target"))
+        root = spark.createDataFrame([("root", None, "folder", None)], "id string, parent string, kind string, target string")
+        return walk(root.unionByName(regions).unionByName(folders).unionByName(back).unionByName(files).unionByName(links), root.select("id"))
+
+    @to.query(
+        "whole_listings",
+        "SELECT o_custkey, o_orderkey AS item FROM orders WHERE o_custkey % 3 <> 0 OR o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)",
+    )
+    def q_whole_listings(spark: SparkSession, folder: str) -> DataFrame:
+        # Every customer's orders came one a page; of every third customer the second page is missing in the newest and only revision.
+        w = W.partitionBy("o_custkey")
+        rows = table(spark, folder, "orders", "o_custkey", "o_orderkey").withColumn("page_no", F.row_number().over(w.orderBy("o_orderkey"))).withColumn("last", F.col("page_no") == F.count("*").over(w))
+        pages = rows.filter("o_custkey % 3 <> 0 or page_no <> 2").select("o_custkey", F.lit(7).alias("revision"), "page_no", "last", F.array("o_orderkey").alias("items"))
+        return whole_listings(pages, ["o_custkey"])
+
+
 def _boxes(to: Registry) -> None:
     @to.query("block_links_covered", f"WITH {_B}, q AS (SELECT observation_id, block_id AS other, {{'x0': bbox.x0 + 5, 'y0': bbox.y0 + 2, 'x1': bbox.x1 + 5, 'y1': bbox.y1 + 2}} AS bbox FROM b WHERE bbox IS NOT NULL) SELECT p.block_id, 'u' || q.other AS url FROM b p JOIN q USING (observation_id) WHERE p.bbox IS NOT NULL AND {_INSIDE} >= 0.5 * (q.bbox.x1 - q.bbox.x0) * (q.bbox.y1 - q.bbox.y0) AND q.bbox.x1 > q.bbox.x0 AND q.bbox.y1 > q.bbox.y0")
     def block_links_covered(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,5 +209,6 @@ def register(to: Registry) -> None:
     """Add the queries."""
     _functions(to)
     _rows(to)
+    _listings(to)
     _boxes(to)
 

@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoints go when nothing refers to them any more; a cluster should set the same.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (base | conf).items():
         builder = builder.config(key, value)

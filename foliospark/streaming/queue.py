@@ -37,7 +37,11 @@ def step(state: dict[str, Any], event: dict[str, Any]) -> list[tuple[str | None,
     now, jobs, name = event["at"], state["jobs"], event.get("job")
     kind = event["kind"]
     job = jobs.get(name)
-    if job and not job["document"] and job["deadline"] <= now and not job["complete"]:
+    # What nobody waits for any more, done or not, is forgotten, so the state holds open requests and kept documents only.
+    if kind == "claim":
+        for key in [k for k, j in jobs.items() if not j["document"] and j["deadline"] <= now]:
+            del jobs[key]
+    elif job and not job["document"] and job["deadline"] <= now:
         del jobs[name]
         job = None
     if kind == "submit":

@@ -243,7 +243,7 @@ def test_order_components_of_all_rows(spark):
         return x
 
     for customer, order in edges:
-        a, b = find(customer), find(-order)
+        a, b = find(customer), find(-1 - order)
         root[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in catalog().queries["order_components"](spark, DATA).collect()}
     assert got == {x: find(x) for x in root}
