@@ -15,6 +15,7 @@ from __future__ import annotations
 import copy
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -203,10 +204,10 @@ class Decoder:
         # The least cost of a part of one, two and more letters that isn't known, at any confidence.
         self.least = (0.0, 5.0, math.inf, WRONG - HINT + min(self.cost.values(), default=0.0))
         self.hinted: dict[float, Decoder] = {}
-        self.seen: dict[str, tuple[str, str] | None] = {}
-        self.fixed = lru_cache(maxsize=50_000)(self._fixed)
-        self.spelled = lru_cache(maxsize=50_000)(self._spelled)
-        self.part = lru_cache(maxsize=50_000)(self._part)
+        self.seen: dict[str, int | tuple[tuple[str, str] | None]] = {}
+        self.fixed = lru_cache(maxsize=200_000)(self._fixed)
+        self.spelled = lru_cache(maxsize=200_000)(self._spelled)
+        self.part = lru_cache(maxsize=200_000)(self._part)
 
     def at(self, confidence: float | None) -> Decoder:
         """The decoder for a text of this confidence: what is less sure is sooner a misreading; null is the usual."""
@@ -218,7 +219,7 @@ class Decoder:
         if wrong not in self.hinted:
             other = copy.copy(self)
             other.wrong, other.hinted, other.seen = wrong, {}, {}
-            other.fixed, other.part = lru_cache(maxsize=50_000)(other._fixed), lru_cache(maxsize=50_000)(other._part)
+            other.fixed, other.part = lru_cache(maxsize=200_000)(other._fixed), lru_cache(maxsize=200_000)(other._part)
             self.hinted[wrong] = other
         return self.hinted[wrong]
 
@@ -422,24 +423,28 @@ class Decoder:
     def _alone(self, text: str, count: dict[str, int]) -> str | None:
         """The mended text if only single words can be edges of its lattice, else None; outside the zones of :func:`_zones`."""
         words = _WORDS.findall(text)
-        known, seen = self.known, self.seen
+        seen = self.seen
+        # Words the lexicon holds are marked by 0 and passed over at once.
+        marks = [seen.get(t, 1) for t in words]
+        if not any(marks):
+            return text
         changed, found = {}, dict.fromkeys(count, 0)
-        for i, token in enumerate(words):
-            if token in seen:
-                reading = seen[token]
-            else:
-                reading = self._reading(token) if len(token) > 1 else None
+        for i, mark in enumerate(marks):
+            if mark == 0:
+                continue
+            token = words[i]
+            low = token.lower()
+            if mark == 1:
                 if len(seen) > 200_000:
                     seen.clear()
-                seen[token] = reading
-            if reading is not None:
-                changed[token] = reading[0]
-                found[reading[1]] += 1
-            low = token.lower()
-            if low not in known and len(low) > 1:
-                for a, b in ((words[i - 1].lower() if i else "", low), (low, words[i + 1].lower() if i + 1 < len(words) else "")):
-                    if self._fragments(a, b):
-                        return None
+                mark = seen[token] = 0 if low in self.known or len(token) == 1 else (self._reading(token),)
+                if mark == 0:
+                    continue
+            if mark[0] is not None:
+                changed[token] = mark[0][0]
+                found[mark[0][1]] += 1
+            if i and self._fragments(words[i - 1].lower(), low) or i + 1 < len(words) and self._fragments(low, words[i + 1].lower()):
+                return None
         if not changed:
             return text
         for how, n in found.items():
@@ -447,6 +452,18 @@ class Decoder:
         return _WORDS.sub(lambda m: changed.get(m[0], m[0]), text)
 
 
+#: The decoder a worker holds: tasks that follow one another in it share what it has worked out.
+_HELD: dict[str, Decoder] = {}
+
+
+def _decoder(name: str, counts: dict[str, int]) -> Decoder:
+    """The decoder of a lexicon, made once in each worker; one is held at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Decoder(counts)
+    return _HELD[name]
+
+
 def _cased(token: str, reading: str) -> str:
     return reading[:1].upper() + reading[1:] if token[:1].isupper() else reading
 
@@ -636,10 +653,10 @@ def decoded(observations: DataFrame, counts: dict[str, int], running: DataFrame
     else:
         drop = running.groupBy("observation_id").agg(F.collect_set("line_no").alias("drop"))
         rows = rows.join(drop, "observation_id", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    shared, name = rows.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(shared.value)
+        decoder = _decoder(name, shared.value)
         for batch in batches:
             out = []
             for oid, raw, drop in zip(batch["observation_id"], batch["raw"], batch["drop"]):
@@ -765,10 +782,10 @@ def repaired_blocks(blocks: DataFrame, observations: DataFrame) -> DataFrame:
     running = running_lines(edges).filter("observation_id < 0")
     drop = running.groupBy(F.col("observation_id").alias("page")).agg(F.collect_set("line_no").alias("drop"))
     rows = pages.join(drop, "page", "left").select("parts", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    shared, name = rows.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        usual = Decoder(shared.value)
+        usual = _decoder(name, shared.value)
         for batch in batches:
             out = []
             for parts, drop in zip(batch["parts"], batch["drop"]):
