@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import html
 import re
 from html.parser import HTMLParser
@@ -274,10 +275,12 @@ def next_page_paragraphs(pages: DataFrame, book: str, page: str, last: str, firs
     It does if the next page follows, the block ends no sentence and the next begins small,
     or the block ends in a dividing hyphen.
     """
+    # What the ends of a page say is told before the sort, so no text is moved.
+    ends = F.when(F.col(last).rlike(r"\p{L}-\s*$"), 2).when(~F.col(last).rlike(r"[.!?:…»\"”)]\s*$"), 1).otherwise(0)
+    rows = pages.select(book, page, ends.alias("_e"), F.col(first).rlike(r"^\s*\p{Ll}").alias("_small"))
     w = W.partitionBy(book).orderBy(page)
-    rows = pages.withColumn("_n", F.lead(page).over(w)).withColumn("_f", F.lead(first).over(w))
-    runs_on = F.col(last).rlike(r"\p{L}-\s*$") | (~F.col(last).rlike(r"[.!?:…»\"”)]\s*$") & F.col("_f").rlike(r"^\s*\p{Ll}"))
-    return rows.select(book, page, F.coalesce((F.col("_n") == F.col(page) + 1) & runs_on, F.lit(False)).alias("joined"))
+    runs_on = (F.col("_e") == 2) | ((F.col("_e") == 1) & F.lead("_small").over(w))
+    return rows.withColumn("joined", F.coalesce((F.lead(page).over(w) == F.col(page) + 1) & runs_on, F.lit(False))).select(book, page, "joined")
 
 
 def paragraph_chains(joined: DataFrame, book: str, page: str) -> DataFrame:
@@ -299,14 +302,25 @@ def merged_table(a: list[list[str]], b: list[list[str]], most: int = 20) -> list
 
 
 def continued_tables(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
-    """(book, first_page, n_pages, rows): pipe tables at page ends merged with those the next page begins with. A book is one task."""
+    """(book, first_page, n_pages, n_rows): pipe tables at page ends merged with those the next page begins with.
+
+    Pages are read where they are; only the cells of pages with a table are sent to their
+    book, which is one task.
+    """
+
+    def cells_of(batches):
+        for batch in batches:
+            out = []
+            for b, no, value in zip(batch[book], batch[page], batch[text]):
+                cells = [[c.strip() for c in re.split(r"(?<!\\)\|", x.strip().strip("|"))] for x in (value or "").split("\n") if x.strip().startswith("|") and not re.fullmatch(r"[\s|:-]+", x)]
+                if cells:
+                    out.append((b, no, json.dumps(cells)))
+            yield pd.DataFrame(out, columns=[book, page, "_cells"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for no, value in sorted(zip(rows[page], rows[text])):
-            cells = [[c.strip() for c in re.split(r"(?<!\\)\|", x.strip().strip("|"))] for x in (value or "").split("\n") if x.strip().startswith("|") and not re.fullmatch(r"[\s|:-]+", x)]
-            if not cells:
-                continue
+        for no, held in sorted(zip(rows[page], rows["_cells"])):
+            cells = json.loads(held)
             joined = merged_table(out[-1][3], cells) if out and out[-1][1] + out[-1][2] == no else None
             if joined is not None:
                 out[-1][2], out[-1][3] = out[-1][2] + 1, joined
@@ -314,8 +328,9 @@ def continued_tables(pages: DataFrame, book: str, page: str, text: str) -> DataF
                 out.append([rows[book].iloc[0], no, 1, cells])
         return pd.DataFrame([(b, f, n, len(r)) for b, f, n, r in out], columns=[book, "first_page", "n_pages", "n_rows"])
 
-    kind = pages.schema[book].dataType.simpleString()
-    return pages.select(book, page, text).groupBy(book).applyInPandas(merge, f"{book} {kind}, first_page bigint, n_pages int, n_rows int")
+    kind, number = pages.schema[book].dataType.simpleString(), pages.schema[page].dataType.simpleString()
+    found = pages.select(book, page, text).mapInPandas(cells_of, f"{book} {kind}, {page} {number}, _cells string")
+    return found.groupBy(book).applyInPandas(merge, f"{book} {kind}, first_page bigint, n_pages int, n_rows int")
 
 
 def chapter_starts(outline: DataFrame, contents: DataFrame, headings: DataFrame, book: str) -> DataFrame:

@@ -47,10 +47,6 @@ def register(to: Registry) -> None:
         rows = _blocks(spark, folder).filter("kind = 'title'")
         return D.anchors(rows, ["book_id"], "block_id", "markdown").select("block_id", "anchor")
 
-    @to.query("repeated_regions")
-    def repeated_regions(spark: SparkSession, folder: str) -> DataFrame:
-        return D.repeated_regions(_blocks(spark, folder), ["observation_id"], "ordinal")
-
     @to.query(
         "paragraph_joins",
         rf"WITH {_FIRST}, l AS (SELECT book_id, page_no, trim(regexp_replace(raw, '<\|ref\|>.*?<\|/ref\|><\|det\|>.*?<\|/det\|>', '', 'gs')) AS t FROM r), n AS (SELECT *, lead(page_no) OVER w AS nx, lead(t) OVER w AS f FROM l WINDOW w AS (PARTITION BY book_id ORDER BY page_no)) "

@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators import chunks as C
 from foliospark.operators import documents as D
 from foliospark.operators import identity as I
 from foliospark.operators import links as L
 from foliospark.operators import quality as Q
 from foliospark.operators import relations as E
+from foliospark.operators import repairs as P
 from foliospark.operators import rerank as K
 from foliospark.operators import search as R
 from foliospark.operators import trust as U
@@ -275,6 +277,54 @@ def _layout(to: Registry) -> None:
         return U.native_regions(rows, ["observation_id"], "line", "ordinal").select("observation_id", "line", "bbox.x0", "bbox.y1", "text", "excluded")
 
 
+def _planted(to: Registry) -> None:
+    @to.query("planted_loops", "SELECT DISTINCT observation_id FROM ocr_observations WHERE observation_id % 2 = 0")
+    def planted_loops(spark: SparkSession, folder: str) -> DataFrame:
+        # Every second read has a loop in its middle, each with a counter of its own; the others hold it too few times.
+        rows = table(spark, folder, "ocr_observations", "observation_id").distinct()
+        head = F.concat(F.lit("A page numbered "), "observation_id", F.lit(" begins here. "))
+        text = F.concat(head, F.repeat(F.lit("one and two; "), F.when(F.col("observation_id") % 2 == 0, 30).otherwise(3)), F.lit("Then it ends with other words."))
+        return rows.withColumn("t", text).filter(P.looping("t")).select("observation_id")
+
+    @to.query("planted_phrases", f"WITH {_B} SELECT block_id FROM b WHERE block_id % 3 = 0")
+    def planted_phrases(spark: SparkSession, folder: str) -> DataFrame:
+        rows = _blocks(spark, folder).select("block_id", F.concat(F.lit("block "), "block_id", F.lit(": "), F.repeat(F.lit("Ends here. "), F.when(F.col("block_id") % 3 == 0, 3).otherwise(2)), F.lit("so")).alias("t"))
+        return rows.filter(Q.triple_phrase("t")).select("block_id")
+
+    @to.query("planted_runaways", f"WITH {_B} SELECT block_id, length('so it goes ') * (block_id % 12) + 4 AS before, length('so it goes ') + 5 AS after FROM b WHERE block_id % 12 >= 8")
+    def planted_runaways(spark: SparkSession, folder: str) -> DataFrame:
+        # A phrase of three words stands up to eleven times; from eight on it is cut to one.
+        rows = _blocks(spark, folder).select("block_id", F.concat(F.repeat(F.lit("so it goes "), (F.col("block_id") % 12).cast("int")), F.lit("done")).alias("t")).withColumn("cut", Q.truncated_runaway("t"))
+        return rows.filter("cut <> t").select("block_id", F.length("t").alias("before"), F.length("cut").alias("after"))
+
+    @to.query(
+        "planted_tables",
+        "WITH p AS (SELECT DISTINCT book_id, page_no FROM ocr_observations), g AS (SELECT *, page_no - row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS g FROM p) SELECT book_id, min(page_no) AS first_page, count(*) AS n_pages, 1 + 2 * count(*) AS n_rows FROM g GROUP BY book_id, g",
+    )
+    def planted_tables(spark: SparkSession, folder: str) -> DataFrame:
+        # Every page has a table with the same header, and the last row of the page before again.
+        row = lambda n: F.concat(F.lit("| r"), n.cast("string"), F.lit(" | x |\n"))
+        n = F.col("page_no") * 2
+        text = F.concat(F.lit("| name | value |\n| --- | --- |\n"), row(n), row(n + 1))
+        rows = table(spark, folder, "ocr_observations", "book_id", "page_no").distinct().withColumn("t", text)
+        return D.continued_tables(rows, "book_id", "page_no", "t")
+
+    @to.query("event_gaps", "WITH g AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT user_id, p AS after_no, event_id AS before_no FROM g WHERE event_id - p <> 1")
+    def event_gaps(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "events", "user_id", "event_id").distinct()
+        before = F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
+        return rows.withColumn("after_no", before).filter("event_id - after_no <> 1").select("user_id", "after_no", F.col("event_id").alias("before_no"))
+
+    @to.query(
+        "breadcrumb_trails",
+        "WITH p AS (SELECT page_id, any_value(path) AS path, any_value(headings) AS h FROM parsed_pages WHERE headings IS NOT NULL GROUP BY 1), i AS (SELECT path, h, unnest(range(1, len(h) + 1)) AS i FROM p) "
+        "SELECT path, h[i].line AS line, array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(h[1:i], lambda x: [CAST(x.level AS VARCHAR), x.text])), lambda a, x: list_concat(a[1:CAST(x[1] AS INT) - 1], [x[2]])), ' > ') AS breadcrumb FROM i",
+    )
+    def breadcrumb_trails(spark: SparkSession, folder: str) -> DataFrame:
+        pages = _pages(spark, folder, "text", "headings").filter("headings is not null")
+        return C.parse_pages(pages.select("path", "text")).select("path", F.explode("headings").alias("h")).select("path", "h.line", F.array_join("h.crumbs", " > ").alias("breadcrumb"))
+
+
 def _identities(to: Registry) -> None:
     unit = "v AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings)"
     scores = f"{unit}, s AS (SELECT a.vec_id % 20 AS grp, a.vec_id, b.label, max(list_dot_product(a.v, b.v)) AS m FROM v a, v b GROUP BY 1, 2, 3), p AS (SELECT grp, label, avg(m) AS score FROM s GROUP BY 1, 2)"
@@ -304,4 +354,5 @@ def register(to: Registry) -> None:
     _search(to)
     _relations(to)
     _layout(to)
+    _planted(to)
     _identities(to)

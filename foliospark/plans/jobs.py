@@ -87,7 +87,11 @@ def register(to: Registry) -> None:
         pages = table(spark, folder, "blocks", "book_id", "page_no", "kind", "markdown").groupBy("book_id", "page_no").agg(F.max(F.when(F.col("kind") == "title", F.col("markdown"))).alias("t"))
         return sinks.chapters_of(pages, "book_id", "page_no", "t")
 
-    @to.query("book_files")
+    @to.query(
+        "book_files",
+        "WITH r AS (SELECT book_id, page_no, arg_min(raw, observation_id) AS raw FROM ocr_observations GROUP BY 1, 2), c AS (SELECT book_id, (page_no - 1) // 10 AS ch, strlen(string_agg(raw, chr(10) || chr(10) ORDER BY page_no)) AS b FROM r WHERE raw IS NOT NULL GROUP BY 1, 2), "
+        "s AS (SELECT *, sum(b) OVER (PARTITION BY book_id) > 262144 AND count(*) OVER (PARTITION BY book_id) >= 2 AS split FROM c) SELECT book_id, printf('chapter-%03d.md', ch::INT) AS file, b AS bytes FROM s WHERE split UNION ALL SELECT book_id, 'index.md', sum(6 + 2 * strlen(printf('chapter-%03d.md', ch::INT))) + count(*) - 1 FROM s WHERE split GROUP BY 1 UNION ALL SELECT book_id, 'book.md', sum(b) + 2 * (count(*) - 1) FROM s WHERE NOT split GROUP BY 1",
+    )
     def book_files(spark: SparkSession, folder: str) -> DataFrame:
         reads = table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw").groupBy("book_id", "page_no").agg(F.min_by("raw", "observation_id").alias("raw"))
         pages = reads.withColumn("chapter", F.floor((F.col("page_no") - 1) / 10))

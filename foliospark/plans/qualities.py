@@ -67,21 +67,6 @@ def register(to: Registry) -> None:
     def table_quality(spark: SparkSession, folder: str) -> DataFrame:
         return Q.table_quality(_blocks(spark, folder), ["block_id"], "markdown").select("block_id", "n_rows", "n_columns", "repeated_rows")
 
-    @to.query("unbalanced_math")
-    def unbalanced_math(spark: SparkSession, folder: str) -> DataFrame:
-        rows = table(spark, folder, "blocks", "block_id", "kind", "markdown").filter("kind = 'formula'").distinct()
-        return rows.filter(~Q.balanced_math("markdown")).select("block_id")
-
-    @to.query(
-        "adjacent_overlap",
-        rf"WITH o AS (SELECT DISTINCT book_id, page_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS t, observation_id FROM ocr_observations), f AS (SELECT book_id, page_no, t FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY observation_id) AS n FROM o) WHERE n = 1), "
-        "x AS (SELECT book_id, page_no, t AS a, lead(page_no) OVER w AS next_no, lead(t) OVER w AS b FROM f WINDOW w AS (PARTITION BY book_id ORDER BY page_no)), k AS (SELECT book_id, page_no, next_no, CASE WHEN a = b AND a <> '' THEN 'equal' WHEN (contains(a, b) OR contains(b, a)) AND least(length(a), length(b)) >= 0.35 * greatest(length(a), length(b)) AND least(length(a), length(b)) > 0 THEN 'contained' "
-        "WHEN length(b) >= 120 AND ends_with(a, left(b, 120)) THEN 'seam' END AS kind FROM x WHERE next_no = page_no + 1) SELECT * FROM k WHERE kind IS NOT NULL",
-    )
-    def adjacent_overlap(spark: SparkSession, folder: str) -> DataFrame:
-        rows = table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw").groupBy("book_id", "page_no").agg(F.min_by("raw", "observation_id").alias("raw"))
-        return Q.adjacent_overlap(rows, ["book_id"], "page_no", "raw")
-
     @to.query(
         "confidence_summary",
         f"WITH {_BLOCKS}, x AS (SELECT book_id, ln(confidence) AS lp, confidence AS p FROM b WHERE confidence > 0), r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY exp(lp)) AS i, count(*) OVER (PARTITION BY book_id) AS n FROM x) "
@@ -157,10 +142,16 @@ def register(to: Registry) -> None:
     def robust_centroids(spark: SparkSession, folder: str) -> DataFrame:
         return I.profiles(table(spark, folder, "embeddings"), "label", "vec_id", "embedding").select("label", "n_used", "n_all")
 
-    @to.query("profile_best_two")
+    @to.query(
+        "profile_best_two",
+        f"WITH {unit}, sc AS (SELECT a.label, a.vec_id, any_value(a.v) AS v, round(sum(list_dot_product(a.v, b.v)), 9) AS s, count(*) AS n FROM v a JOIN v b ON a.label = b.label GROUP BY 1, 2), m AS (SELECT label, v AS mv, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM sc) WHERE r = 1), "
+        "k AS (SELECT v.label, v.v FROM v JOIN m ON v.label = m.label WHERE n <= 2 OR list_dot_product(v, mv) >= 0.65), d AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM k) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM d GROUP BY 1), "
+        "s AS (SELECT vec_id, c.label AS l, round(list_cosine_similarity(v, c), 9) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 9) DESC, c.label) AS r FROM v, c), t AS (SELECT vec_id, max(CASE WHEN r = 1 THEN l END) AS best, max(CASE WHEN r = 1 THEN s END) AS a, max(CASE WHEN r = 2 THEN l END) AS second, max(CASE WHEN r = 2 THEN s END) AS b FROM s WHERE r <= 2 GROUP BY 1) "
+        "SELECT vec_id, best, round(a, 4) AS score, second, a >= 0.3 AND a - b >= 0.02 AS matched FROM t",
+    )
     def profile_best_two(spark: SparkSession, folder: str) -> DataFrame:
         rows = table(spark, folder, "embeddings")
-        return I.best_two(rows, "vec_id", "embedding", I.profiles(rows, "label", "vec_id", "embedding"), "label", 0.3, 0.02).select("vec_id", "best", F.round("score", 6).alias("score"), "second", "matched")
+        return I.best_two(rows, "vec_id", "embedding", I.profiles(rows, "label", "vec_id", "embedding"), "label", 0.3, 0.02).select("vec_id", "best", F.round("score", 4).alias("score"), "second", "matched")
 
     @to.query("assigned_identities")
     def assigned_identities(spark: SparkSession, folder: str) -> DataFrame:

@@ -112,14 +112,6 @@ def register(to: Registry) -> None:
     def evenly_spaced_segments(spark: SparkSession, folder: str) -> DataFrame:
         return L.evenly_spaced(_segments(spark, folder), ["capture_id"], [F.col("s"), F.col("e"), F.col("segment_id")], 5).select("capture_id", "segment_id")
 
-    @to.query(
-        "number_gaps",
-        "WITH s AS (SELECT DISTINCT capture_id, segment_no FROM microphone_segments), g AS (SELECT *, lag(segment_no) OVER (PARTITION BY capture_id ORDER BY segment_no) AS p FROM s) SELECT capture_id, p AS after_no, segment_no AS before_no FROM g WHERE segment_no - p <> 1",
-    )
-    def number_gaps(spark: SparkSession, folder: str) -> DataFrame:
-        rows = table(spark, folder, "microphone_segments", "capture_id", "segment_no").distinct()
-        return rows.withColumn("after_no", F.lag("segment_no").over(W.partitionBy("capture_id").orderBy("segment_no"))).filter("segment_no - after_no <> 1").select("capture_id", "after_no", F.col("segment_no").alias("before_no"))
-
     @to.query(
         "out_of_order",
         "WITH s AS (SELECT DISTINCT segment_id, capture_id, segment_no, started_at FROM microphone_segments), g AS (SELECT *, last_value(started_at IGNORE NULLS) OVER (PARTITION BY capture_id ORDER BY segment_no, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s) SELECT segment_id FROM g WHERE started_at < p",
