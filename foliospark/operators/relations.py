@@ -55,6 +55,11 @@ def field_edges(pages: DataFrame, relation: str, array_pointer: str, target_poin
     return rows.select(F.col("path").alias("source"), F.lit(relation).alias("relation"), target.alias("target"), pointer.alias("pointer")).filter("target is not null")
 
 
+def field_at(json: Column | str, pointer: str) -> Column:
+    """The text at a JSON pointer; null where there is none or it is null."""
+    return F.get_json_object(json, _path_of(pointer))
+
+
 def of_type(pages: DataFrame, type_pointer: str, type_value: str, json: str = "frontmatter") -> DataFrame:
     """Pages whose frontmatter has the value at the pointer."""
     return pages.filter(F.get_json_object(json, _path_of(type_pointer)) == type_value)

@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators import actions as A
 from foliospark.operators import chunks as C
 from foliospark.operators import documents as D
 from foliospark.operators import edits as E
+from foliospark.operators import lists as I
+from foliospark.operators import relations as N
 from foliospark.operators import repairs as R
+from foliospark.operators import search as R_
 from foliospark.operators import sync as S
 from foliospark.operators import timeline as L
 from foliospark.operators import validate as V
@@ -174,6 +178,88 @@ def _listings(to: Registry) -> None:
         return whole_listings(pages, ["o_custkey"])
 
 
+def _documents(to: Registry) -> None:
+    pages = "p AS (SELECT DISTINCT book_id, page_no FROM ocr_observations), g AS (SELECT *, page_no - row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS g FROM p)"
+
+    @to.query("stitched_lists", f"WITH {pages} SELECT book_id, min(page_no) AS first_page, 4 * count(*) AS n_items, min(page_no) * 2 AS first_ordinal, max(page_no) * 2 + 1 AS last_ordinal FROM g GROUP BY book_id, g")
+    def stitched_lists(spark: SparkSession, folder: str) -> DataFrame:
+        # Every page is a piece of one numbered list, with two bullets under its first item.
+        n = F.col("page_no") * 2
+        text = F.concat(n.cast("string"), F.lit(". one\n   - under\n   - and di-\n     vided\n"), (n + 1).cast("string"), F.lit(". two\n   goes on\n"))
+        rows = table(spark, folder, "ocr_observations", "book_id", "page_no").distinct().withColumn("t", text)
+        items = I.stitched_lists(I.page_lists(rows, "book_id", "page_no", "t"), "book_id", "page_no")
+        outer = F.when(F.col("level") == 0, F.col("ordinal"))
+        return items.groupBy("book_id", "first_page", "first_list").agg(F.count("*").alias("n_items"), F.min(outer).cast("bigint").alias("first_ordinal"), F.max(outer).cast("bigint").alias("last_ordinal")).drop("first_list")
+
+    @to.query("list_items", r"WITH d AS (SELECT page_id, any_value(text) AS t FROM parsed_pages GROUP BY 1) SELECT page_id, 2 AS n_items, 'x' || page_id AS first_text FROM d WHERE t IS NOT NULL")
+    def list_items(spark: SparkSession, folder: str) -> DataFrame:
+        # Behind every page's text a list in Roman numerals of two items.
+        rows = table(spark, folder, "parsed_pages", "page_id", "text").dropDuplicates(["page_id"]).filter("text is not null")
+        whole = rows.select("page_id", F.lit(1).alias("n"), F.concat("text", F.lit("\n```\n\nText.\n\ni) x"), "page_id", F.lit("\nii) y\n")).alias("t"))
+        items = I.page_lists(whole, "page_id", "n", "t").filter("style = 'roman' and at_end")
+        return items.groupBy("page_id").agg(F.count("*").alias("n_items"), F.min_by("text", "ordinal").alias("first_text"))
+
+    @to.query("acted_pages", "SELECT path, CASE WHEN page_id % 3 = 0 THEN 'rejected' WHEN page_id % 3 = 1 THEN 'unchanged' ELSE 'updated' END AS outcome, page_id % 3 = 2 AS grown FROM (SELECT page_id, any_value(path) AS path, any_value(text) AS text FROM parsed_pages GROUP BY 1) WHERE text IS NOT NULL")
+    def acted_pages(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "parsed_pages", "page_id", "path", "text").dropDuplicates(["page_id"]).filter("text is not null")
+        named = rows.select(F.concat("page_id", F.lit("|"), "path").alias("path"), "text")
+
+        def action(document: dict) -> str | None:
+            kind = int(document["path"].split("|")[0]) % 3
+            if kind == 0:
+                raise ValueError("not this one")
+            return None if kind == 1 else A.updated(document, {"state": "done"}, "2024-01-02 closed")
+
+        out = A.acted(named, action)
+        grown = F.contains("text", F.lit("state: done")) & F.contains("text", F.lit("- 2024-01-02 closed"))
+        return out.select(F.substring_index("path", "|", -1).alias("path"), "outcome", grown.alias("grown"))
+
+    @to.query("section_entries", "SELECT path, len(list_distinct(list_transform(headings, lambda h: h.text))) AS n_sections FROM (SELECT page_id, any_value(path) AS path, any_value(headings) AS headings FROM parsed_pages GROUP BY 1) WHERE headings IS NOT NULL")
+    def section_entries(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "parsed_pages", "page_id", "path", "text", "headings").dropDuplicates(["page_id"]).filter("headings is not null")
+        out = A.acted(rows, lambda d: str(len(d["sections"])))
+        return out.select("path", F.col("text").cast("bigint").alias("n_sections"))
+
+    @to.query("stale_results", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'outdated' END AS reason FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 UNION ALL SELECT -1 - o_orderkey, 'orphan' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 5 <> 0")
+    def stale_results(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+        made = A.stale_results(rows, rows.select("o_orderkey", F.lit("").alias("fingerprint")).filter("false"), "o_orderkey", ["o_orderstatus"], "sum-v1").select("o_orderkey", "fingerprint").filter("o_orderkey % 5 <> 0")
+        gone = made.filter("o_orderkey % 11 = 0").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), "fingerprint")
+        # A price that changes is no declared field; a status that changes is.
+        now = rows.withColumn("o_totalprice", -F.col("o_totalprice")).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "new").otherwise(F.col("o_orderstatus")))
+        return A.stale_results(now, made.unionByName(gone), "o_orderkey", ["o_orderstatus"], "sum-v1").select("o_orderkey", "reason")
+
+    @to.query("sync_states", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'nothing' WHEN 1 THEN 'push' WHEN 2 THEN 'fast-forward' WHEN 3 THEN 'blocked' ELSE 'blocked' END AS state FROM events")
+    def sync_states(spark: SparkSession, folder: str) -> DataFrame:
+        kind = F.col("event_id") % 5
+        here, there = F.when(kind.isin(1, 3), "l").otherwise("b"), F.when(kind.isin(2, 3, 4), "s").otherwise("b")
+        return table(spark, folder, "events", "event_id").select("event_id", A.sync_state(here, F.lit("b"), there, kind != 4).alias("state"))
+
+    @to.query("reading_order", f"WITH {_B} SELECT block_id, row_number() OVER (PARTITION BY observation_id ORDER BY bbox.y0, bbox.x0, block_id) AS place FROM b WHERE bbox IS NOT NULL")
+    def reading_order(spark: SparkSession, folder: str) -> DataFrame:
+        w = W.partitionBy("observation_id").orderBy("bbox.y0", "bbox.x0", "block_id")
+        return _blocks(spark, folder).filter("bbox is not null").select("block_id", F.row_number().over(w).alias("place"))
+
+    @to.query("shortest_blocks", f"WITH {_B} SELECT observation_id, block_id FROM b WHERE markdown IS NOT NULL QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY length(markdown), block_id) <= 2")
+    def shortest_blocks(spark: SparkSession, folder: str) -> DataFrame:
+        rows = _blocks(spark, folder).filter("markdown is not null").withColumn("n", F.length("markdown"))
+        return R_.ranked(rows.select("observation_id", "block_id", "n"), ["observation_id"], [F.col("n"), F.col("block_id")], 2).select("observation_id", "block_id")
+
+    @to.query("projected_fields", "SELECT path, json_extract_string(fm, '$.title') AS title, json_extract_string(fm, '$.tags[0]') AS tag, json_extract_string(fm, '$.effort') AS effort FROM (SELECT page_id, any_value(path) AS path, any_value(frontmatter) AS fm FROM parsed_pages GROUP BY 1)")
+    def projected_fields(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, "parsed_pages", "page_id", "path", "frontmatter").dropDuplicates(["page_id"])
+        return rows.select("path", *[N.field_at("frontmatter", pointer).alias(name) for name, pointer in {"title": "/title", "tag": "/tags/0", "effort": "/effort"}.items()])
+
+    @to.query("voiceprints", "SELECT label, count(*) AS n, 64 AS dimensions FROM embeddings GROUP BY 1")
+    def voiceprints(spark: SparkSession, folder: str) -> DataFrame:
+        from foliospark.operators.identity import profiles
+        from foliospark.sources.sinks import voiceprint_lines
+
+        rows = voiceprint_lines(profiles(table(spark, folder, "embeddings"), "label", "vec_id", "embedding"), "label")
+        held = F.from_json("line", "label bigint, samples bigint, vector array<double>")
+        return rows.select(held.alias("h")).select("h.label", F.col("h.samples").alias("n"), F.size("h.vector").alias("dimensions"))
+
+
 def _boxes(to: Registry) -> None:
     @to.query("block_links_covered", f"WITH {_B}, q AS (SELECT observation_id, block_id AS other, {{'x0': bbox.x0 + 5, 'y0': bbox.y0 + 2, 'x1': bbox.x1 + 5, 'y1': bbox.y1 + 2}} AS bbox FROM b WHERE bbox IS NOT NULL) SELECT p.block_id, 'u' || q.other AS url FROM b p JOIN q USING (observation_id) WHERE p.bbox IS NOT NULL AND {_INSIDE} >= 0.5 * (q.bbox.x1 - q.bbox.x0) * (q.bbox.y1 - q.bbox.y0) AND q.bbox.x1 > q.bbox.x0 AND q.bbox.y1 > q.bbox.y0")
     def block_links_covered(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,5 +296,6 @@ def register(to: Registry) -> None:
     _functions(to)
     _rows(to)
     _listings(to)
+    _documents(to)
     _boxes(to)
 

@@ -116,3 +116,15 @@ def frontmatter_text(fields: list[tuple[str, str]]):
     """A column with the ``---`` block of the given (name, column) fields, empty ones left out."""
     lines = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"{n}: "), F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6))) for n, c in fields]))
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"))
+
+
+def voiceprint_lines(profiles: DataFrame, by: str) -> DataFrame:
+    """(line): one JSON line per profile with its name, number of samples and unit vector, for a text writer."""
+    return profiles.select(F.to_json(F.struct(F.col(by), F.col("n_all").alias("samples"), F.col("centroid").alias("vector"))).alias("line"))
+
+
+def published(pages: DataFrame, assets: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, kind): what a publication holds: every page, and of the assets (path) only those some page names."""
+    from foliospark.operators.relations import referenced
+
+    return pages.select(F.col(path).alias("path"), F.lit("page").alias("kind")).unionByName(referenced(assets, pages, text).select("path", F.lit("asset").alias("kind")))
