@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.operators import chunks as C
 from foliospark.operators import documents as D
+from foliospark.operators import evidence as V
 from foliospark.operators import identity as I
 from foliospark.operators import links as L
 from foliospark.operators import quality as Q
@@ -277,6 +278,32 @@ def _layout(to: Registry) -> None:
         return U.native_regions(rows, ["observation_id"], "line", "ordinal").select("observation_id", "line", "bbox.x0", "bbox.y1", "text", "excluded")
 
 
+def _evidence(to: Registry) -> None:
+    @to.query("aligned_titles", f"WITH {_B} SELECT block_id, length(markdown) - 1 AS n FROM b WHERE kind = 'title' AND markdown <> ''")
+    def aligned_titles(spark: SparkSession, folder: str) -> DataFrame:
+        # A title against itself with its last character lost; what is left is found at its places.
+        rows = _blocks(spark, folder).filter("kind = 'title' and markdown <> ''")
+        pairs = V.alignment("markdown", F.left("markdown", F.length("markdown") - 1))
+        return rows.select("block_id", F.size(F.filter(pairs, lambda p: p["a"] == p["b"])).cast("bigint").alias("n"))
+
+    @to.query("merged_details", f"WITH {_B} SELECT block_id, 'The quick fox of ' || block_id || ' sees an old dog' AS text FROM b")
+    def merged_details(spark: SparkSession, folder: str) -> DataFrame:
+        own = lambda a, b, c: F.concat(F.lit(a), "block_id", F.lit(f" {b} an old {c}"))
+        return _blocks(spark, folder).select("block_id", V.with_detail(own("The qnick fox of ", "sees", "dog"), own("The quick fox of ", "secs", "dog"), own("the quick fox of ", "sees", "dog")).alias("text"))
+
+    corner = "(greatest(0, least(bbox.x1, 1000) - greatest(bbox.x0, 900)) * greatest(0, least(bbox.y1, 1000) - greatest(bbox.y0, 980)))"
+
+    @to.query("adopted_regions", f"WITH {_B} SELECT block_id, CAST(coalesce(bbox.y0 <= 980, false) AS INT) AS place FROM b WHERE block_id % 2 = 0 AND (bbox IS NULL OR {corner} / 2000 < 0.35)")
+    def adopted_regions(spark: SparkSession, folder: str) -> DataFrame:
+        # Every block is a page; at its foot another read has words that the text layer has too for every second page.
+        rows = _blocks(spark, folder)
+        foot = F.struct(F.lit(900.0).alias("x0"), F.lit(980.0).alias("y0"), F.lit(1000.0).alias("x1"), F.lit(1000.0).alias("y1"))
+        found = rows.select("block_id", F.lit(1).alias("id"), F.lit("note").alias("kind"), F.concat(F.lit("foot of "), "block_id").alias("text"), foot.alias("bbox"))
+        native = found.select("block_id", F.when(F.col("block_id") % 2 == 0, F.col("text")).otherwise("nothing").alias("text"), "bbox")
+        held = rows.select("block_id", F.lit(1).alias("id"), "kind", F.col("markdown").alias("text"), "bbox")
+        return V.adopted_regions(found, held, native, ["block_id"]).select("block_id", "place")
+
+
 def _planted(to: Registry) -> None:
     @to.query("planted_loops", "SELECT DISTINCT observation_id FROM ocr_observations WHERE observation_id % 2 = 0")
     def planted_loops(spark: SparkSession, folder: str) -> DataFrame:
@@ -354,5 +381,6 @@ def register(to: Registry) -> None:
     _search(to)
     _relations(to)
     _layout(to)
+    _evidence(to)
     _planted(to)
     _identities(to)
