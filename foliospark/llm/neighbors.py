@@ -330,7 +330,7 @@ def answer_queries(records: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``queries``: query_id, space columns, vector, limit_k, filter_json (null: no filter;
     all its keys must be there with equal values). A limit of 0 or null gives no rows, nor
-    does an unusable query vector; the parts are searched for the greatest limit asked. Queries without
+    does an unusable query vector; the parts are searched for the greatest limit asked; similarities equal in five digits go by id. Queries without
     filter go through the learned parts; those with one first join the records that
     have all its values, and only these are compared.
     """
@@ -348,6 +348,6 @@ def answer_queries(records: DataFrame, queries: DataFrame) -> DataFrame:
     both = fits.join(vectors, "vec_id").join(asked.select("query_id", F.col("vector").alias("_q")), "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     filtered = both.select("query_id", "vec_id", (dot("_v", "_q") / F.sqrt(dot("_v", "_v")) / F.sqrt(dot("_q", "_q"))).alias("similarity"))
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 5)), "vec_id")
     ranked = plain.unionByName(filtered).join(limits, "query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("_k"))
     return ranked.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))

@@ -67,6 +67,11 @@ def register(to: Registry) -> None:
         leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
         return leaks.select("doc_id", "item_id")
 
+    @to.query("p8_item_counts", S.P8_COUNTS)
+    def p8_item_counts(spark: SparkSession, folder: str) -> DataFrame:
+        leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
+        return leaks.groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
     @to.query("p8_item_report")
     def p8_item_report(spark: SparkSession, folder: str) -> DataFrame:
         leaks = leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
@@ -102,9 +107,9 @@ def register(to: Registry) -> None:
     def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
         return neighbors.nearest(table(spark, folder, "vector_records"), 10)
 
-    @to.query("p3_answers")
+    @to.query("p3_answers", S.P3_ANSWERS)
     def p3_answers(spark: SparkSession, folder: str) -> DataFrame:
-        return neighbors.answer_queries(table(spark, folder, "vector_records"), table(spark, folder, "vector_queries"))
+        return neighbors.answer_queries(table(spark, folder, "vector_records"), table(spark, folder, "vector_queries")).select("query_id", "rank", "vec_id")
 
     @to.query("p1_found", S.P1_FOUND)
     def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -638,9 +638,12 @@ def running_lines(edges: DataFrame, pages: int = PAGES) -> DataFrame:
 WORDS = "observation_id bigint, hyphen int, misread int, text string"
 
 
-def decoded(observations: DataFrame, counts: dict[str, int], running: DataFrame | None = None, texts: bool = True) -> DataFrame:
+def decoded(observations: DataFrame, counts: dict[str, int], running: DataFrame | None = None, texts: bool = True, told: int | None = None) -> DataFrame:
     """(observation_id, hyphen, misread, text) of each read.
 
+    Without texts, ``told`` ends the counts of a read as soon as it has a divided word and so
+    many misread ones: what else it has changes nothing then.
+
     ``text`` holds the mended paragraphs, separated by empty lines, without the lines of
     ``running``; opaque stretches (formulas, code, tags) are left as they are. A null or
     empty read gives no row.
@@ -676,6 +679,8 @@ def decoded(observations: DataFrame, counts: dict[str, int], running: DataFrame
                     mended, count = mend_text(decoder, stream)
                     hyphen += count["hyphen"]
                     misread += count["confused"] + count["odd"] + count["split"] + count["spaced"]
+                    if told is not None and not texts and hyphen and misread >= told:
+                        break
                     if texts and shown:
                         pieces += _continuous(decoder, shown, mended if len(shown) == len(marked) else None)
                 out.append((oid, hyphen, misread, "\n\n".join(pieces) if texts else None))
@@ -718,7 +723,7 @@ def noise(observations: DataFrame) -> DataFrame:
 
     ``hyphen``, ``misread`` (``MISREAD`` words or more), ``header``, ``page_number``.
     """
-    words = decoded(observations, lexicon(observations), texts=False)
+    words = decoded(observations, lexicon(observations), texts=False, told=MISREAD)
     kinds = F.array_compact(F.array(F.when(F.col("hyphen") > 0, F.lit("hyphen")), F.when(F.col("misread") >= MISREAD, F.lit("misread"))))
     own = words.select("observation_id", F.explode(kinds).alias("noise"))
     # The edges are read a dozen times; they are short, the reads are not.

@@ -50,6 +50,7 @@ spans AS (SELECT doc_id, item_id, n, max(i) - min(i) + 4 AS span FROM runs GROUP
 SELECT DISTINCT doc_id, item_id FROM spans WHERE span >= least(20, n)
 """
 
+P8_COUNTS = f"SELECT item_id, count(*) AS n_documents FROM ({P8_FOUND.strip()}) GROUP BY 1"
 P8_CLEAN = f"SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8_FOUND.strip()}))"
 
 P3_FOUND = """
@@ -61,6 +62,23 @@ SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b
 WHERE list_cosine_similarity(a.x, b.x) >= 0.9
 """
 
+#: Every vector of a query's space compared; like similarities go by id.
+P3_ANSWERS = """
+WITH v AS (
+  SELECT DISTINCT vec_id, space_namespace AS ns, recipe AS r, dimensions AS d, CAST(vector AS DOUBLE[]) AS x FROM vector_records
+  WHERE vec_id IS NOT NULL AND len(vector) = dimensions AND len(list_filter(vector, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(vector, lambda c: c <> 0)) > 0),
+m AS (SELECT vec_id, max(CAST(metadata AS VARCHAR)) AS j FROM vector_records GROUP BY 1),
+q AS (
+  SELECT query_id, space_namespace AS ns, recipe AS r, dimensions AS d, CAST(vector AS DOUBLE[]) AS y, limit_k AS k, filter_json AS f FROM vector_queries
+  WHERE limit_k > 0 AND len(vector) = dimensions AND len(list_filter(vector, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(vector, lambda c: c <> 0)) > 0),
+w AS (SELECT query_id, unnest(json_keys(f)) AS key, f FROM q WHERE f IS NOT NULL),
+p AS (SELECT query_id, key, json_extract_string(f, '$."' || key || '"') AS value FROM w),
+c AS (SELECT q.query_id, v.vec_id, round(list_cosine_similarity(x, y), 5) AS s, k, f FROM q JOIN v ON q.ns IS NOT DISTINCT FROM v.ns AND q.r IS NOT DISTINCT FROM v.r AND q.d = v.d),
+ok AS (
+  SELECT c.* FROM c JOIN m USING (vec_id) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = c.query_id AND json_extract_string(m.j, '$."' || p.key || '"') IS DISTINCT FROM p.value))
+SELECT query_id, rank, vec_id FROM (SELECT query_id, vec_id, k, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM ok) WHERE rank <= k
+"""
+
 #: The families by plain patterns, code taken out first; what only context can tell apart is not in the test data.
 P1_FOUND = r"""
 WITH b AS (
