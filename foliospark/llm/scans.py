@@ -55,12 +55,12 @@ _DIVIDED = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*\n[ \t]*([^\W\d_]+)")
 _OPAQUE = re.compile(r"```.*?```|~~~.*?~~~|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|`[^`\n]*`|<!--.*?-->|</?[A-Za-z][^<>]*>|&#?\w+;|\\begin\{equation\*?\}.*?\\end\{equation\*?\}|\\begin\{align\*?\}.*?\\end\{align\*?\}|\\[A-Za-z]+\*?(?:\{[^{}]*\})?|\{\{[^{}]*\}\}|\S*[/_\\]\S*|\[\[|\]\]", re.S)
 #: Without one of these signs nothing is opaque.
 _SIGNS = re.compile(r"[`~$<&{/_\\]|\[\[|\]\]")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@†�](?=\w|[@†�])|[@†�])*|[@†�]+[^\W_][\w@†�]*|[^\s\w]|\s+")
+_TOKEN = re.compile(r"[^\W_]+(?:[@†�]+[^\W_]*)*|[@†�]+[^\W_][\w@†�]*|[^\s\w]|\s+")
 _ODD = re.compile(r"[@†�ſ]")
 #: Cost of a letter after a pair that no word has.
 _UNSEEN = -math.log(0.02)
 #: The tokens of letters, digits and odd signs.
-_WORDS = re.compile(r"[^\W_](?:[^\W_]|[@†�](?=\w|[@†�])|[@†�])*|[@†�]+[^\W_][\w@†�]*|[@†�]")
+_WORDS = re.compile(r"[^\W_]+(?:[@†�]+[^\W_]*)*|[@†�]+[^\W_][\w@†�]*|[@†�]")
 #: Where an edge over several tokens may begin: a dividing mark before a line's end, or letters drawn apart.
 _JOINED = re.compile(rf"[{HYPHENS}][ \t]*\n|(?:^|[\W_])(?:[^\W\d_]|[@†�])(?:[{HYPHENS}]?\s+(?:[^\W\d_]|[@†�])(?![^\W_])){{2}}")
 
