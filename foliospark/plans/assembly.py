@@ -120,6 +120,11 @@ def register(to: Registry) -> None:
         rows = table(spark, folder, "ocr_observations", "observation_id", "book_id", "page_no", "raw").groupBy("book_id", "page_no").agg(F.min_by("raw", "observation_id").alias("a"), F.max_by("raw", "observation_id").alias("b"), F.count_distinct("observation_id").alias("n")).filter("n > 1")
         return rows.select("book_id", "page_no", F.posexplode(R.word_differences("a", "b")).alias("no", "d")).select("book_id", "page_no", "no", "d.op", "d.a", "d.b")
 
-    @to.query("indent_bands")
+    @to.query(
+        "indent_bands",
+        "WITH RECURSIVE b AS (SELECT DISTINCT observation_id, ordinal, bbox.x0 AS x FROM blocks WHERE bbox IS NOT NULL AND bbox.x0 IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY ordinal) AS n FROM b), "
+        "st AS (SELECT observation_id, ordinal, n, [x] AS seen, 0 AS band FROM r WHERE n = 1 UNION ALL SELECT observation_id, ordinal, n, CASE WHEN p IS NULL THEN list_append(seen, x) ELSE seen END, coalesce(p - 1, len(seen)) "
+        "FROM (SELECT r.*, st.seen, nullif(list_position(list_transform(st.seen, lambda v: abs(v - r.x) <= 12), true), 0) AS p FROM st JOIN r ON r.observation_id = st.observation_id AND r.n = st.n + 1)) SELECT observation_id, ordinal, band FROM st",
+    )
     def indent_bands(spark: SparkSession, folder: str) -> DataFrame:
         return R.indent_bands(_blocks(spark, folder).withColumn("x", F.col("bbox.x0")), ["observation_id"], "ordinal", "x")

@@ -50,7 +50,10 @@ def register(to: Registry) -> None:
     def boilerplate_blocks(spark: SparkSession, folder: str) -> DataFrame:
         return Q.boilerplate(_blocks(spark, folder), "book_id", "page_no")
 
-    @to.query("triple_phrases")
+    @to.query(
+        "triple_phrases",
+        f"WITH b AS (SELECT DISTINCT block_id, {_W.format('markdown')} AS w FROM blocks), k AS (SELECT block_id, w, unnest(range(1, least(35, len(w) // 3) + 1)) AS k FROM b), i AS (SELECT block_id, w, k, unnest(range(1, len(w) - 3 * k + 2)) AS i FROM k) SELECT DISTINCT block_id FROM i WHERE w[i:i + k - 1] = w[i + k:i + 2 * k - 1] AND w[i:i + k - 1] = w[i + 2 * k:i + 3 * k - 1]",
+    )
     def triple_phrases(spark: SparkSession, folder: str) -> DataFrame:
         return table(spark, folder, "blocks", "block_id", "markdown").filter(Q.triple_phrase(F.coalesce("markdown", F.lit("")))).select("block_id").distinct()
 

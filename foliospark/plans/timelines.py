@@ -94,7 +94,13 @@ def register(to: Registry) -> None:
     def lanes_needed(spark: SparkSession, folder: str) -> DataFrame:
         return L.lanes_needed(_segments(spark, folder), ["capture_id"], "s", "e")
 
-    @to.query("assigned_lanes")
+    # One segment of every capture a step; the state is the list of the lanes' ends.
+    @to.query(
+        "assigned_lanes",
+        f"WITH RECURSIVE {_SEG}, r AS (SELECT capture_id, segment_id, s, e, row_number() OVER (PARTITION BY capture_id ORDER BY s, e, segment_id) AS n FROM seg), "
+        "st AS (SELECT capture_id, segment_id, n, [e] AS ends, 0 AS lane FROM r WHERE n = 1 UNION ALL SELECT capture_id, segment_id, n, CASE WHEN p IS NULL THEN list_append(ends, e) ELSE list_concat(list_concat(ends[1:p - 1], [e]), ends[p + 1:]) END, coalesce(p - 1, len(ends)) "
+        "FROM (SELECT r.*, st.ends, nullif(list_position(list_transform(st.ends, lambda x: x <= r.s), true), 0) AS p FROM st JOIN r ON r.capture_id = st.capture_id AND r.n = st.n + 1)) SELECT capture_id, segment_id, lane FROM st",
+    )
     def assigned_lanes(spark: SparkSession, folder: str) -> DataFrame:
         return L.assign_lanes(_segments(spark, folder), ["capture_id"], "segment_id", "s", "e")
 
