@@ -42,7 +42,7 @@ def register(to: Registry) -> None:
     def p2_without_frequent_lines(spark: SparkSession, folder: str) -> DataFrame:
         return repetition.without_frequent_lines(_observations(spark, folder), "observation_id", "book_id", "raw", limit=2)
 
-    @to.query("p5_found")
+    @to.query("p5_found", S.P5_FOUND)
     def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         out = splitting.pieces(table(spark, folder, "parsed_pages"), table(spark, folder, "embedding_plans"), texts=False)
         return out.select("page_id", F.inline("sections")).filter("section_over").select("page_id", "section_line").distinct()

@@ -103,3 +103,23 @@ P7_FOUND = r"""
 SELECT DISTINCT doc_id FROM documents, (SELECT capacity_tokens AS c FROM pack_specs WHERE pack_id = 1)
 WHERE len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) > c
 """
+
+#: Headings by lines outside fences and comments; the size of a section is that of its lines.
+P5_FOUND = r"""
+WITH p AS (SELECT page_id, any_value(text) AS text, any_value(body_start_line) AS b FROM parsed_pages WHERE page_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+pl AS (SELECT page_id, min(body_limit) AS lim FROM embedding_plans WHERE body_limit > 0 GROUP BY 1),
+n AS (SELECT page_id, string_split(text, chr(10)) AS raw, b FROM p),
+l AS (SELECT page_id, b, raw, unnest(raw) AS line, unnest(range(1, len(raw) + 1)) AS no FROM n),
+o AS (SELECT *, CASE WHEN contains(line, '<!--') AND NOT contains(line, '-->') THEN 1 WHEN contains(line, '-->') AND NOT contains(line, '<!--') THEN -1 ELSE 0 END AS step FROM l),
+t AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY no ROWS UNBOUNDED PRECEDING) - step > 0 AS comment FROM o),
+f AS (SELECT *, CASE WHEN NOT comment AND regexp_matches(line, '^ {0,3}(```|~~~)') THEN 1 ELSE 0 END AS fence FROM t),
+c AS (SELECT *, comment OR (sum(fence) OVER w - fence) % 2 = 1 OR fence = 1 AS code, lead(line) OVER w2 AS below FROM f WINDOW w AS (PARTITION BY page_id ORDER BY no ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY page_id ORDER BY no)),
+body AS (
+  SELECT page_id, coalesce(b, CASE WHEN raw[1] = '---' AND list_position(raw[2:], '---') > 0 THEN list_position(raw[2:], '---') + 2 ELSE 1 END) AS body, raw, b FROM n),
+h AS (
+  SELECT DISTINCT c.page_id, no FROM c JOIN body USING (page_id) WHERE NOT code AND no >= body AND (
+    regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)') OR (regexp_matches(below, '^ {0,3}(=+|-+)[ \t]*$') AND regexp_matches(line, '^ {0,3}[^\s]') AND NOT regexp_matches(line, '^ {0,3}([-*+>|#]|\d+[.)])')))),
+st AS (SELECT page_id, no FROM h UNION SELECT page_id, body FROM body WHERE body <= len(raw)),
+se AS (SELECT page_id, no AS a, lead(no) OVER (PARTITION BY page_id ORDER BY no) AS z FROM st)
+SELECT page_id, CAST(a AS BIGINT) AS section_line FROM se JOIN body USING (page_id) JOIN pl USING (page_id) WHERE length(rtrim(array_to_string(raw[a:coalesce(z - 1, len(raw))], chr(10)), ' ' || chr(9) || chr(10) || chr(13))) > lim
+"""
