@@ -29,6 +29,7 @@ CELLS = 60_000
 WEIGHTS = Path(__file__).with_name("labeller.npz")
 
 _WORDS = re.compile(r"[^\W\d_]+|\d+|\\[A-Za-z]+")
+_SIGNS = frozenset("=+^\\{")
 _AT = {k: i for i, k in enumerate(KINDS)}
 #: Families of each kind as indices, none first.
 _MAY = {k: (0, *(FAMILIES.index(f) for f in may)) for k, may in ALLOWED.items()}
@@ -40,21 +41,32 @@ def _slot(word: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h & 0x10000 else -1.0
 
 
-def _path(held: dict[int, np.ndarray], node: Open | None) -> np.ndarray:
+def _path(held: dict[int, np.ndarray], node: Open) -> np.ndarray:
     """The hashed path of an open element; each element's vector is its own and, weaker, that of what is around it."""
+    if node.around is None:
+        return _outer(node.name)
     todo = []
-    while node is not None and id(node) not in held:
+    while node.around is not None and id(node) not in held:
         todo.append(node)
         node = node.around
-    vector = held[id(node)] if node is not None else np.zeros(PATH, np.float32)
+    vector = held[id(node)] if id(node) in held else _outer(node.name)
     for n in reversed(todo):
-        vector = OUTWARD * np.roll(vector, 1)
+        vector = OUTWARD * np.concatenate([vector[-1:], vector[:-1]])
         k, sign = _slot(n.name, PATH)
         vector[k] += sign
         held[id(n)] = vector
     return vector
 
 
+@lru_cache(maxsize=10_000)
+def _outer(name: str) -> np.ndarray:
+    """The path of an element that nothing is open around."""
+    vector = np.zeros(PATH, np.float32)
+    k, sign = _slot(name, PATH)
+    vector[k] = sign
+    return vector
+
+
 def features(text: str, leaves: Sequence[Leaf]) -> np.ndarray:
     """One row per leaf of one block: its kind, tag path, words and shape."""
     out = np.zeros((len(leaves), INPUT), np.float32)
@@ -78,7 +90,7 @@ def features(text: str, leaves: Sequence[Leaf]) -> np.ndarray:
         inner = part.strip("$*_~'`=#[]{}|<> \n")
         row[s0 : s0 + SHAPE] = (
             before.isalnum(), after.isalnum(), before == "\n", after == "\n", before == ":", inner[:1].isdigit(),
-            any(c in inner for c in "=+^\\{"), " " in inner, not words, i == 0, inner.count(" ") / (1 + len(inner)) * 5,
+            not _SIGNS.isdisjoint(inner), " " in inner, not words, i == 0, inner.count(" ") / (1 + len(inner)) * 5,
         )
     return out
 
